@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_tree, language_id, license_scan, media, mixing, packing, quality_classifier, quality_rules
+from graphloom.llm import chat_tree, jaccard_join, language_id, license_scan, media, mixing, packing, quality_classifier, quality_rules
 from graphloom.llm.common import fold
 
 
@@ -53,6 +53,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, _table(spark, sf_dir, "labels"), keep=["doc_id", "source", "lang"])
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return media.media_digests(docs).drop("text")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_media_columns": op10_media_columns,
 }
 
