@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_tree, jaccard_join, language_id, license_scan, media, mixing, packing, quality_classifier, quality_rules
+from graphloom.llm import chat_tree, jaccard_join, language_id, license_scan, lm, media, mixing, packing, quality_classifier, quality_rules
 from graphloom.llm.common import fold
 
 
@@ -28,6 +28,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(docs).drop("text")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs, use=fold("doc_id", 7) != 2)
+    scored = lm.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))
+    held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +73,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_tree": op5_chat_tree,
     "op6_source_mixing": op6_source_mixing,
