@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from graphloom.plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "edge_view"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "D1_D4_beam_3hop"
+for _name in ("access",):
+    importlib.import_module(f"graphloom.plans.{_name}_queries")
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
