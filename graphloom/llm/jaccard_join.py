@@ -267,25 +267,26 @@ def similar_groups(
     forest = Forest(trees, depth)
     signed = materialize(signatures(docs, text_col, id_col, n, forest), "signatures")
     classes = materialize(
-        signed.where("cls is not null").groupBy("cls").agg(F.count("*").alias("docs"), F.min("place").alias("place"), F.min("doc_id").alias("least_id"), F.first("sig").alias("sig")),
+        signed.where("cls is not null").groupBy("cls").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "place")).alias("r"), F.min("doc_id").alias("least_id"), F.first("sig").alias("sig")).select("cls", "docs", "r.place", F.col("r.doc_id").alias("rep_id"), "least_id", "sig"),
         "classes",
     )
     matched = matched_depth(threshold[0] / threshold[1], trees, depth, recall)
     groups = materialize(connected_components(candidate_links(classes, forest, matched)).select(F.col("node").alias("cls"), F.col("component").alias("cand")), "groups")
     sized = groups.join(groups.groupBy("cand").agg(F.count("*").alias("m")), "cand")
-    members = sized.join(classes.select("cls", "docs", "place"), "cls")
+    members = sized.join(classes.select("cls", "docs", "place", "rep_id"), "cls")
     blocks = F.ceil(F.col("m") / F.greatest(F.lit(64.0), F.lit(8.0) * F.sqrt("m"))).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks").cast("bigint")).cast("int"))
-    # one text of each class: copies of a text are merged before and within the shuffle
-    wanted = members.select("place")
-    body = docs.select(F.xxhash64(text_col).alias("place"), F.col(text_col).alias("text")).join(wanted, "place", "left_semi").dropDuplicates(["place"])
+    # one text of each class, by hash and id, so that the copies of a text spread over the shuffle
+    wanted = members.select(F.col("place").alias("_place"), F.col("rep_id").alias("_id"))
+    body = docs.select(F.xxhash64(text_col).alias("place"), F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    body = body.join(wanted, (F.col("place") == F.col("_place")) & F.col("rep").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["place", "rep"]).select("place", "text")
     dealt = members.join(body, "place").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.col("cand").alias("grp"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "docs", F.col("text").cast("binary").alias("text"))
     checked = materialize(verify(dealt, n, threshold), "links")
     links = checked.groupBy("cls").agg(F.sum("docs").alias("linked"))
     comps = connected_components(checked.where("cls <> root").select(F.col("cls").alias("src"), F.col("root").alias("dst")))
     out = (
-        classes.drop("sig")
+        classes.drop("sig", "rep_id")
         .join(links, "cls", "left")
         .join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left")
         .select("cls", F.coalesce("component", "cls").alias("grp"), "docs", (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("n_links"), "least_id", "place")
