@@ -49,7 +49,9 @@ from graphloom.storage import materialize, shared_path
 
 END, BEGIN = b" end", b" begin"  # no word has a space
 SHARD_TOKENS = 1 << 21
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_500_000
+#: Bytes of text that are cut into words at a time.
+SLICE_BYTES = 3_000_000
 _LOW = np.uint64(0xFFF)
 
 
@@ -57,7 +59,7 @@ class Hashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -75,6 +77,19 @@ def stream(batch: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat)), np.array(sizes, np.int64)
 
 
+def cut(batch: list[bytes], size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """Parts of a batch with about ``size`` bytes each, or one text that is longer."""
+    part, held = [], 0
+    for text in batch:
+        if part and held + len(text) > size:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
+
+
 def before(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The token before each, the begin mark at the start of a text."""
     out = np.empty_like(tokens)
@@ -262,9 +277,11 @@ def _count_vocab(bits: int):
             return {"shard": [s for s, _ in parts], "block": [pack([words[p], n[p]], [8, 4]) for _, p in parts]}
 
         def step(*columns) -> Iterator[dict]:
-            if columns:
-                held.append(stream(texts(columns[0]), hashes)[0])
-            if held and (not columns or sum(map(len, held)) >= FLUSH_TOKENS):
+            for part in cut(texts(columns[0])) if columns else ():
+                held.append(stream(part, hashes)[0])
+                if sum(map(len, held)) >= FLUSH_TOKENS:
+                    yield drain()
+            if held and not columns:
                 yield drain()
 
         return step
@@ -294,10 +311,12 @@ def _count_grams(bits: int, hot: np.ndarray):
                 yield {"shard": [s for s, _ in parts], "block": [pack([a[p], b[p], c[p]], [6, 6, 4]) for _, p in parts]}
 
         def step(*columns) -> Iterator[dict]:
-            if columns:
-                tokens, sizes = stream(texts(columns[0]), hashes)
+            for part in cut(texts(columns[0])) if columns else ():
+                tokens, sizes = stream(part, hashes)
                 held.append((before(tokens, sizes), tokens))
-            if held and (not columns or sum(len(x[1]) for x in held) >= FLUSH_TOKENS):
+                if sum(len(x[1]) for x in held) >= FLUSH_TOKENS:
+                    yield from drain()
+            if held and not columns:
                 yield from drain()
 
         return step
@@ -391,7 +410,7 @@ def train(docs: DataFrame, text_col: str = "text", use: Column | None = None, sh
     return LanguageModel(folder, bits, sum(p.tokens for p in parts), sum(p.types for p in parts), discounts(n[1:]), d0, n[0], free, hot, stats)
 
 
-def score(docs: DataFrame, model: LanguageModel, text_col: str = "text", slice_tokens: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Add n_tokens, n_known, base_score and score (log10 of the text's probability)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -399,19 +418,12 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text", slice_t
         hashes = Hashes()
 
         def compute(column: pa.Array):
-            batch = texts(column)
             out = []
-            i = 0
-            while i < len(batch):  # as many texts as fill a slice
-                j, size = i, 0
-                while j < len(batch) and (j == i or size + len(batch[j]) <= 6 * slice_tokens):
-                    size += len(batch[j])
-                    j += 1
-                tokens, sizes = stream(batch[i:j], hashes)
+            for part in cut(texts(column)):
+                tokens, sizes = stream(part, hashes)
                 known, base, mine = shared.value.token_scores(tokens, sizes)
                 at = np.cumsum(sizes) - sizes
                 out.append((sizes, np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(mine, at)))
-                i = j
             return [np.concatenate(x) for x in zip(*out)]
 
         return compute
