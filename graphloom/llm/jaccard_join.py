@@ -260,14 +260,14 @@ def similar_groups(
     depth: int = DEPTH,
     recall: float = RECALL,
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, place, cls) and classes (cls, grp, docs, n_links, least_id, place).
+    """Documents (doc_id, place, cls) and classes (cls, grp, docs, n_links, least_id, rep_id, place).
 
-    ``grp`` names the connected component of the links, ``docs`` counts the documents of the class and
+    ``rep_id`` and ``place`` are of the class's first document, one with an id if there is one.  ``grp`` names the connected component of the links, ``docs`` counts the documents of the class and
     ``n_links`` the other documents whose similarity reaches the threshold."""
     forest = Forest(trees, depth)
     signed = materialize(signatures(docs, text_col, id_col, n, forest), "signatures")
     classes = materialize(
-        signed.where("cls is not null").groupBy("cls").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "place")).alias("r"), F.min("doc_id").alias("least_id"), F.first("sig").alias("sig")).select("cls", "docs", "r.place", F.col("r.doc_id").alias("rep_id"), "least_id", "sig"),
+        signed.where("cls is not null").groupBy("cls").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("r"), F.min("doc_id").alias("least_id"), F.first("sig").alias("sig")).select("cls", "docs", "r.place", F.col("r.doc_id").alias("rep_id"), "least_id", "sig"),
         "classes",
     )
     matched = matched_depth(threshold[0] / threshold[1], trees, depth, recall)
@@ -286,10 +286,10 @@ def similar_groups(
     links = checked.groupBy("cls").agg(F.sum("docs").alias("linked"))
     comps = connected_components(checked.where("cls <> root").select(F.col("cls").alias("src"), F.col("root").alias("dst")))
     out = (
-        classes.drop("sig", "rep_id")
+        classes.drop("sig")
         .join(links, "cls", "left")
         .join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left")
-        .select("cls", F.coalesce("component", "cls").alias("grp"), "docs", (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("n_links"), "least_id", "place")
+        .select("cls", F.coalesce("component", "cls").alias("grp"), "docs", (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("n_links"), "least_id", "rep_id", "place")
     )
     return signed.select("doc_id", "place", "cls"), out
 
@@ -311,10 +311,9 @@ def jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def first_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without near duplicates: of each group the row with the least id stays, then
     the least text hash; rows equal in both count once.  Texts without words all stay."""
-    rows, classes = similar_groups(docs, text_col, id_col, **options)
-    grouped = rows.where("cls is not null").join(classes.select("cls", "grp"), "cls")
-    # a group's rows meet in partial aggregates only
-    stay = grouped.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.place").alias("_place"))
+    _, classes = similar_groups(docs, text_col, id_col, **options)
+    least = F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("id"), "place"))
+    stay = classes.groupBy("grp").agg(least.alias("r")).select(F.col("r.id").alias("_id"), F.col("r.place").alias("_place"))
     placed = docs.withColumn("_at", F.xxhash64(text_col))
     empty = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
     kept = placed.where(~empty).join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_place")), "left_semi")
