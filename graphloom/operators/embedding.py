@@ -74,7 +74,7 @@ def fit_translation(edges: DataFrame, dim: int = 16, epochs: int = 30, rate: flo
         np.add.at(g, r[lose], (good - bad)[lose])
         w -= step * g / np.maximum(n, 1)
         e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1.0)
-    return pd.DataFrame({"id": names, "v": list(e)}), pd.DataFrame({"rel": rels, "v": list(w)})
+    return pd.DataFrame({"id": names, "v": e.tolist()}), pd.DataFrame({"rel": rels, "v": w.tolist()})
 
 
 def procrustes(a: np.ndarray, b: np.ndarray) -> np.ndarray:

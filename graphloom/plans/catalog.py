@@ -7,7 +7,7 @@ import importlib
 from graphloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "D1_D4_beam_3hop"
-for _name in ("access", "traversal", "rules", "analytics"):
+for _name in ("access", "traversal", "rules", "analytics", "text"):
     importlib.import_module(f"graphloom.plans.{_name}_queries")
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
