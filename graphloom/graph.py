@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EDGE_SCHEMA = T.StructType.fromDDL("src string, rel string, dst string, weight double, confidence double, provenance string, valid_from double, valid_to double")
+_TEXT, _NUMBER = T.StringType(), T.DoubleType()
+EDGE_SCHEMA = T.StructType([T.StructField(n, _TEXT if n in ("src", "rel", "dst", "provenance") else _NUMBER) for n in ("src", "rel", "dst", "weight", "confidence", "provenance", "valid_from", "valid_to")])
 EDGE_COLUMNS = EDGE_SCHEMA.fieldNames()
 DEFAULT_RELATION = "RELATED_TO"
 

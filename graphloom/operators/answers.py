@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scoring as S
 
-PATH_TEXT = F.concat_ws("|", "path")
+
+def path_text() -> Column:
+    """The path as text."""
+    return F.concat_ws("|", "path")
 
 
 def extract(paths: DataFrame, top_k: int = 10, min_hop: int = 1, vote_weight: float = 0.45, branch_bonus: float = 0.0, degrees: DataFrame | None = None, degree_penalty: float = 0.0, semantic: Column | None = None) -> DataFrame:
@@ -16,7 +19,7 @@ def extract(paths: DataFrame, top_k: int = 10, min_hop: int = 1, vote_weight: fl
     valid = paths.where(F.size("path") >= 2 * min_hop + 1)
     scored = valid.withColumn("ps", F.round(S.path_score(F.col("w"), F.col("cseq"), F.col("conf"), F.col("prov"), semantic), 9))
     branch = F.when(F.size("path") >= 5, F.col("path")[2]).otherwise(F.col("path")[0])
-    best = F.min(F.struct((-F.col("ps")).alias("ps"), PATH_TEXT.alias("text"), "path", "conf", "cseq", "ba", "bb")).alias("best")
+    best = F.min(F.struct((-F.col("ps")).alias("ps"), path_text().alias("text"), "path", "conf", "cseq", "ba", "bb")).alias("best")
     ends = scored.groupBy("query_id", F.col("tail").alias("entity")).agg(best, F.sum("ps").alias("votes"), F.countDistinct(branch).alias("branches"), F.count("*").alias("paths"))
     query = Window.partitionBy("query_id")
     path_score = -F.col("best.ps")

@@ -19,8 +19,10 @@ from graphloom.functions.vectors import cosine
 from graphloom.operators.access import cap_per_node, valid_at
 from graphloom.storage import materialize
 
-#: Tie order of equal scores: the path as text.
-PATH_TEXT = F.concat_ws("|", "path")
+
+def path_text() -> Column:
+    """The path as text: the tie order of equal scores."""
+    return F.concat_ws("|", "path")
 
 
 def seeds_to_paths(seeds: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def extend(paths: DataFrame, edges: DataFrame, hop: int, relation_weights: dict[
 def lateral_inhibition(paths: DataFrame, ratio: float, community: Column | None = None) -> DataFrame:
     """Lower a path's score by its rank among the query's paths that end in the same community."""
     group = Window.partitionBy("query_id", community if community is not None else F.try_element_at("cseq", F.lit(-1)))
-    rank = F.row_number().over(group.orderBy(F.desc("score"), PATH_TEXT)) - 1
+    rank = F.row_number().over(group.orderBy(F.desc("score"), path_text())) - 1
     return paths.withColumn("score", F.round(F.greatest(F.col("score") * (1 - ratio * rank / F.count("*").over(group)), F.lit(0.0)), 9))
 
 
@@ -95,7 +97,7 @@ def prune(paths: DataFrame, width: int, floor: float = 0.0, gap: float = 0.0, in
         paths = paths.withColumn("_best", best).where(F.col("score") >= gap * F.col("_best")).drop("_best")
     if inhibition:
         paths = lateral_inhibition(paths, inhibition)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), PATH_TEXT)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), path_text())
     return paths.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= width).drop("_rank")
 
 
@@ -260,7 +262,7 @@ def looped(seeds: DataFrame, edges: DataFrame, rounds: int = 3, keep: int = 5, s
 
 def trace(paths: DataFrame, width: int) -> DataFrame:
     """Rank and fate of every candidate of a hop, instead of dropping the losers."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), PATH_TEXT)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), path_text())
     return paths.select("query_id", "path", "score", F.row_number().over(order).alias("rank")).withColumn("kept", F.col("rank") <= width)
 
 
@@ -270,7 +272,7 @@ def engram_prune(paths: DataFrame, patterns: DataFrame, strength: float, width:
     rels = F.concat_ws(">", F.filter("path", lambda _, i: i % 2 == 1))
     joined = paths.withColumn("rels", rels).join(patterns.select("rels", "affinity"), "rels", "left")
     key = F.col("score") * (1 + strength * F.coalesce("affinity", F.lit(0.0)))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round(key, 9)), PATH_TEXT)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round(key, 9)), path_text())
     return joined.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= width).drop("_rank", "affinity", "rels")
 
 
@@ -280,4 +282,4 @@ def sampled_scores(paths: DataFrame, seed: int = 1) -> DataFrame:
     def draw(a: pd.Series, b: pd.Series, h: pd.Series) -> pd.Series:
         return pd.Series([np.random.default_rng(abs(int(k))).beta(x, y) for x, y, k in zip(a, b, h)])
 
-    return paths.withColumn("sample", draw("ba", "bb", F.xxhash64(PATH_TEXT, F.lit(seed))))
+    return paths.withColumn("sample", draw("ba", "bb", F.xxhash64(path_text(), F.lit(seed))))

@@ -51,7 +51,7 @@ h0 AS (SELECT o_orderkey AS query_id, ['order:' || o_orderkey] AS path, 'order:'
 
 @query("D1_D4_beam_3hop", _BEAM_SQL + "SELECT query_id, array_to_string(path, '|') AS path, round(score, 6) AS score FROM beam", edges=True)
 def beam_3hop(spark: SparkSession, sf: str) -> DataFrame:
-    return _beam(spark, sf).select("query_id", T.PATH_TEXT.alias("path"), r6(F.col("score")).alias("score"))
+    return _beam(spark, sf).select("query_id", T.path_text().alias("path"), r6(F.col("score")).alias("score"))
 
 
 @query("D1_beam_2hop", _BEAM_SQL.replace(_hop_sql(2, False), _hop_sql(2, True)).replace(_hop_sql(3, True), "").replace(" UNION ALL SELECT * FROM h3", "") + "SELECT tail, count(*) AS n, round(max(score), 6) AS best FROM beam GROUP BY tail", edges=True)
@@ -65,14 +65,14 @@ _INHIBIT = _BEAM_SQL + ", g AS (SELECT *, row_number() OVER (PARTITION BY query_
 @query("D6_lateral_inhibition", _INHIBIT + "SELECT query_id, array_to_string(path, '|') AS path, round(greatest(score * (1 - 0.5::DOUBLE * rank / n), 0), 6) AS score FROM g", edges=True)
 def lateral_inhibition(spark: SparkSession, sf: str) -> DataFrame:
     last = _beam(spark, sf).where("size(path) = 7")
-    return T.lateral_inhibition(last, 0.5, F.split("tail", ":")[0]).select("query_id", T.PATH_TEXT.alias("path"), r6(F.col("score")).alias("score"))
+    return T.lateral_inhibition(last, 0.5, F.split("tail", ":")[0]).select("query_id", T.path_text().alias("path"), r6(F.col("score")).alias("score"))
 
 
 @query("D5_D30_trace", _BEAM_SQL + "SELECT query_id, array_to_string(path, '|') AS path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, array_to_string(path, '|')) AS rank FROM x1 WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, array_to_string(path, '|')) <= 3", edges=True)
 def beam_trace(spark: SparkSession, sf: str) -> DataFrame:
     edges = A.cap_per_node(edge_view(spark, sf, RELATIONS), NEIGHBOURS)
     first = T.extend(T.seeds_to_paths(_seeds(spark, sf)), edges, 1, WEIGHTS).where("score >= 0.6")
-    return T.trace(first, 3).where("kept").select("query_id", T.PATH_TEXT.alias("path"), F.col("rank").cast("bigint").alias("rank"))
+    return T.trace(first, 3).where("kept").select("query_id", T.path_text().alias("path"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _TWO = """, a AS (SELECT src AS id, rel AS r1, dst AS mid, confidence AS c1 FROM edges WHERE rel IN ('PLACED_BY', 'FULFILLED_BY')), b AS (SELECT src AS mid, rel AS r2, dst AS tail, confidence AS c2 FROM edges WHERE rel = 'LOCATED_IN') """
@@ -109,7 +109,7 @@ def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
     seeds = _seeds(spark, sf)
     regions = table(spark, sf, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))
     got = T.bounded_paths(seeds, edge_view(spark, sf, ["PLACED_BY", "FULFILLED_BY", "LOCATED_IN", "IN_REGION"]), 3, regions)
-    return got.select(F.col("path")[0].alias("id"), T.PATH_TEXT.alias("path"))
+    return got.select(F.col("path")[0].alias("id"), T.path_text().alias("path"))
 
 
 @query(
@@ -121,7 +121,7 @@ def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
 )
 def meta_beam(spark: SparkSession, sf: str) -> DataFrame:
     got = T.meta_beam("CONTAINS", A.meta_graph(edge_view(spark, sf)), 2)
-    return got.select(T.PATH_TEXT.alias("path"), F.round("score", 2).alias("score"))
+    return got.select(T.path_text().alias("path"), F.round("score", 2).alias("score"))
 
 
 @query(
@@ -183,7 +183,7 @@ def engram_prune(spark: SparkSession, sf: str) -> DataFrame:
     edges = A.cap_per_node(edge_view(spark, sf, RELATIONS), NEIGHBOURS)
     first = T.extend(T.seeds_to_paths(_seeds(spark, sf)), edges, 1, WEIGHTS)
     patterns = spark.createDataFrame([("PLACED_BY", 1.0)], "rels string, affinity double")
-    return T.engram_prune(first, patterns, 0.5, 2).select("query_id", T.PATH_TEXT.alias("path"))
+    return T.engram_prune(first, patterns, 0.5, 2).select("query_id", T.path_text().alias("path"))
 
 
 @query("D13_looped_beam", None)
@@ -195,7 +195,7 @@ def looped(spark: SparkSession, sf: str) -> DataFrame:
 @query("D29_thompson_sampling", None)
 def thompson(spark: SparkSession, sf: str) -> DataFrame:
     edges = A.cap_per_node(edge_view(spark, sf, RELATIONS), NEIGHBOURS)
-    return T.sampled_scores(T.extend(T.seeds_to_paths(_seeds(spark, sf)), edges, 1, WEIGHTS)).select("query_id", T.PATH_TEXT.alias("path"), "sample")
+    return T.sampled_scores(T.extend(T.seeds_to_paths(_seeds(spark, sf)), edges, 1, WEIGHTS)).select("query_id", T.path_text().alias("path"), "sample")
 
 
 # ---------------------------------------------------------------- answers
@@ -242,7 +242,7 @@ def path_consensus(spark: SparkSession, sf: str) -> DataFrame:
     one = last.select("query_id", "path", "score", F.lit("standard").alias("agent"))
     two = last.where("query_id % 2 = 0").select("query_id", "path", (F.col("score") / 2).alias("score"), F.lit("engram").alias("agent"))
     got = N.consensus(one.unionByName(two), {"engram": 0.5})
-    return got.select("query_id", T.PATH_TEXT.alias("path"), "agents", r6(F.col("score")).alias("score"), "conflict")
+    return got.select("query_id", T.path_text().alias("path"), "agents", r6(F.col("score")).alias("score"), "conflict")
 
 
 @query("F21_rerank_idf", _SCORED + ", q AS (SELECT entity, count(*) AS freq FROM ans GROUP BY entity) SELECT query_id, entity, round(least(raw, 1) / (1 + 0.5::DOUBLE * ln(1 + freq)) * CASE WHEN entity LIKE 'region:%' THEN 1.0::DOUBLE ELSE 0.1 END, 5) AS score FROM ans JOIN q USING (entity)", edges=True)

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from graphloom.storage import shared_path
 
-EVENT_SCHEMA = T.StructType.fromDDL("src string, rel string, dst string, ts timestamp, value double, ttl double")
+EVENT_SCHEMA = T.StructType([T.StructField(n, T.TimestampType() if n == "ts" else T.DoubleType() if n in ("value", "ttl") else T.StringType()) for n in ("src", "rel", "dst", "ts", "value", "ttl")])
 
 
 # ---------------------------------------------------------------- sources
