@@ -199,7 +199,7 @@ def _floors(counts: DataFrame, quota: int) -> DataFrame:
 
 
 def assemble(languages: list[str], entries: list[tuple[str, int, str, int]], totals: dict) -> LanguageModel:
-    """Table of smoothed log frequencies from (language, length, item, count)."""
+    """Table of floored log frequencies from (language, length, item, count)."""
     index: list[dict[str, int]] = [{} for _ in range(MAX_N + 1)]
     size = 0
     for _, n, item, _ in sorted(entries, key=lambda e: (e[1], e[2])):
@@ -216,9 +216,9 @@ def assemble(languages: list[str], entries: list[tuple[str, int, str, int]], tot
     table = np.zeros_like(counts)
     for n in range(MAX_N + 1):
         rows = kinds == n
-        vocabulary = max(1, int(rows.sum()))
-        total = np.array([totals.get((k, n), 0) for k in languages], dtype=float)
-        table[rows] = np.log(counts[rows] + 0.5) - np.log(total + 0.5 * vocabulary)
+        total = np.maximum([float(totals.get((k, n), 0)) for k in languages], 1.0)
+        # one floor for all, or a language with little text would win what it has never seen
+        table[rows] = np.log(np.maximum(counts[rows] / total, 0.5 / total.max()))
     return LanguageModel(languages, index, table)
 
 

@@ -194,11 +194,12 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def array(self, kind: str, shard: int) -> np.ndarray:
-        """A memory-mapped array; empty if the shard has none."""
+    def array(self, kind: str, shard: int) -> np.ndarray | None:
+        """A memory-mapped array; None if the shard has none or an empty one."""
         if (kind, shard) not in self._open:
             path = f"{self.folder}/{kind}/{shard}.npy"
-            self._open[kind, shard] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            found = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            self._open[kind, shard] = found if found is not None and len(found) else None
         return self._open[kind, shard]
 
     def find(self, kind: str, values: str, keys: np.ndarray, width: int, out: np.ndarray) -> np.ndarray:

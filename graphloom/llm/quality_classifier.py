@@ -221,7 +221,8 @@ def classify(
     if model is None:
         model = train(docs, labels, text_col, id_col, max_labelled)
     scored = evidence(docs, model, text_col)
-    scored = materialize(scored.select(*(keep or docs.columns), *[f"text_{h}" for h in HEADS]), "evidence")
+    own = [f"text_{h}" for h in HEADS]
+    scored = materialize(scored.select(*[c for c in keep or docs.columns if c.lower() not in own], *own), "evidence")
     out = combine(scored, host_col, path_col, max_shift)
     bad = F.lit(False)
     if model.weights["quality"] is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_tree, jaccard_join, language_id, license_scan, lm, media, mixing, packing, quality_classifier, quality_rules
+from graphloom.llm import chat_tree, jaccard_join, language_id, license_scan, lm, media, mixing, oracles, packing, quality_classifier, quality_rules
 from graphloom.llm.common import fold
 
 
@@ -83,4 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": oracles.QUALITY_RULES.strip(),
+    "op5_chat_tree": oracles.CHAT_TREE.strip(),
+    "op6_source_mixing": oracles.SOURCE_MIXING.strip(),
+}

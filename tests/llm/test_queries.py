@@ -1,0 +1,45 @@
+"""The registered queries run over their whole tables; those with SQL equal it."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from graphloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(columns, data):
+    return sorted(repr(tuple(round(x, 6) if isinstance(x, float) else x for x in r)) for r in data)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    db = duckdb.connect()
+    for t in ("documents", "conversations"):
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = db.sql(f"select {', '.join(columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
+    assert rows(columns, [tuple(r) for r in got.select(*columns).collect()]) == rows(columns, want)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - {"op7_best_fit_packing"}))
+def test_query_gives_a_row_per_document(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_pipeline_keeps_columns_and_packs_whole(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = docs.columns
+    from graphloom.storage import materialize
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = materialize(stage(spark, docs, SF), name)
+        assert docs.columns == names
+        assert 0 < docs.count() <= 2 * before
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert "pipeline" in entry.queries()
