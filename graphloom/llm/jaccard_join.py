@@ -272,7 +272,8 @@ def similar_groups(
     )
     matched = matched_depth(threshold[0] / threshold[1], trees, depth, recall)
     groups = materialize(connected_components(candidate_links(classes, forest, matched)).select(F.col("node").alias("cls"), F.col("component").alias("cand")), "groups")
-    sized = groups.join(groups.groupBy("cand").agg(F.count("*").alias("m")), "cand")
+    # written tables on both sides, so that a hot group's rows can be split
+    sized = groups.join(materialize(groups.groupBy("cand").agg(F.count("*").alias("m")), "sizes"), "cand")
     members = sized.join(classes.select("cls", "docs", "place", "rep_id"), "cls")
     blocks = F.ceil(F.col("m") / F.greatest(F.lit(64.0), F.lit(8.0) * F.sqrt("m"))).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks").cast("bigint")).cast("int"))
@@ -298,7 +299,7 @@ def jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """A row per document: doc_id, class_id (the least id of its group), n_links, class_docs."""
     rows, classes = similar_groups(docs, text_col, id_col, **options)
     classes = materialize(classes, "linked")
-    ids = classes.groupBy("grp").agg(F.min("least_id").alias("class_id"))
+    ids = materialize(classes.groupBy("grp").agg(F.min("least_id").alias("class_id")), "ids")
     found = classes.join(ids, "grp").select("cls", "class_id", "n_links", F.col("docs").alias("class_docs"))
     return rows.join(found, "cls", "left").select(
         "doc_id",
