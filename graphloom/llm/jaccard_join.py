@@ -40,6 +40,8 @@ THRESHOLD = (4, 5)
 TREES, DEPTH = 24, 8
 RECALL = 0.999
 _COLUMNS = 4096
+#: Size of the bitmap of texts that have a partner, as a power of two: 8 MB, whatever the input.
+MARK_BITS = 26
 
 
 class WordHashes(dict):
@@ -178,6 +180,33 @@ def _walk(rows: DataFrame, prefix: int) -> DataFrame:
     return emit(rows, ["tree", "key", "cls"], "src bigint, dst bigint, part int, first binary, last binary", make)
 
 
+def marks_of(places: DataFrame, column: str, bits: int = MARK_BITS) -> np.ndarray:
+    """A bitmap of the hashes of a column: at most 2^(bits - 6) words reach the driver, however
+    many rows there are."""
+    slot = F.pmod(F.col(column), F.lit(1 << bits))
+    words = places.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
+    return out
+
+
+def marked(df: DataFrame, column: str, marks: np.ndarray, wanted: bool) -> DataFrame:
+    """Rows whose hash is in the bitmap, or those whose hash is not.  A row may be in it by chance,
+    so what is in it has to be looked up exactly; what is not in it needs no shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(marks)
+    at = df.columns.index(column)
+
+    def run(batches):
+        bitmap = shared.value
+        size = np.uint64(len(bitmap) * 64 - 1)
+        for batch in batches:
+            slot = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & size
+            hit = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+            yield batch.filter(pa.array(hit if wanted else ~hit))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of incidence matrices over slices of the shared
     n-grams."""
@@ -277,10 +306,11 @@ def similar_groups(
     members = sized.join(classes.select("cls", "docs", "place", "rep_id"), "cls")
     blocks = F.ceil(F.col("m") / F.greatest(F.lit(64.0), F.lit(8.0) * F.sqrt("m"))).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks").cast("bigint")).cast("int"))
-    # one text of each class, by hash and id, so that the copies of a text spread over the shuffle
+    # one text of each class, by hash and id, so that the copies of a text spread over the shuffle;
+    # a bitmap keeps texts without a partner out of it
     wanted = members.select(F.col("place").alias("_place"), F.col("rep_id").alias("_id"))
     body = docs.select(F.xxhash64(text_col).alias("place"), F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    body = body.join(wanted, (F.col("place") == F.col("_place")) & F.col("rep").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["place", "rep"]).select("place", "text")
+    body = marked(body, "place", marks_of(wanted, "_place"), True).join(wanted, (F.col("place") == F.col("_place")) & F.col("rep").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["place", "rep"]).select("place", "text")
     dealt = members.join(body, "place").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.col("cand").alias("grp"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "docs", F.col("text").cast("binary").alias("text"))
     checked = materialize(verify(dealt, n, threshold), "links")
@@ -312,11 +342,17 @@ def jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def first_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without near duplicates: of each group the row with the least id stays, then
     the least text hash; rows equal in both count once.  Texts without words all stay."""
-    _, classes = similar_groups(docs, text_col, id_col, **options)
+    rows, classes = similar_groups(docs, text_col, id_col, **options)
+    classes = materialize(classes, "linked")
     least = F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("id"), "place"))
-    stay = classes.groupBy("grp").agg(least.alias("r")).select(F.col("r.id").alias("_id"), F.col("r.place").alias("_place"))
+    groups = materialize(classes.groupBy("grp").agg(least.alias("r"), F.sum("docs").alias("size")).where("size > 1"), "groups")
+    stay = groups.select(F.col("r.id").alias("_id"), F.col("r.place").alias("_place"))
+    # texts of groups of several documents; all others stay without a shuffle
+    several = rows.where("cls is not null").select("place", "cls").distinct().join(classes.join(groups.select("grp"), "grp").select("cls"), "cls")
+    marks = marks_of(several, "place")
     placed = docs.withColumn("_at", F.xxhash64(text_col))
-    empty = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    kept = placed.where(~empty).join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_place")), "left_semi")
-    kept = kept.dropDuplicates([id_col, "_at"])
-    return kept.unionByName(placed.where(empty)).drop("_at")
+    found = marked(placed, "_at", marks, True)
+    member = found.join(several.select(F.col("place").alias("_at")).distinct(), "_at", "left_semi").select(*placed.columns)
+    kept = member.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_place")), "left_semi").dropDuplicates([id_col, "_at"])
+    chance = found.join(several.select(F.col("place").alias("_at")).distinct(), "_at", "left_anti").select(*placed.columns)
+    return marked(placed, "_at", marks, False).unionByName(kept).unionByName(chance).drop("_at")
