@@ -19,9 +19,10 @@ def fold(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(n))
 
 
-def texts(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column, null as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def texts(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """UTF-8 bytes of a string column, null as empty; a few rows of a batch are held at a time."""
+    for i in range(0, len(column), rows):
+        yield from (x or b"" for x in column.slice(i, rows).cast(pa.binary()).to_pylist())
 
 
 def append_columns(

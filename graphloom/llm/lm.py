@@ -34,7 +34,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -77,7 +77,7 @@ def stream(batch: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat)), np.array(sizes, np.int64)
 
 
-def cut(batch: list[bytes], size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+def cut(batch: Iterable[bytes], size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
     """Parts of a batch with about ``size`` bytes each, or one text that is longer."""
     part, held = [], 0
     for text in batch:
