@@ -182,3 +182,16 @@ def funnel_widths(hops: int, width: int, factor: float = 2.0) -> list[int]:
         return [width] * hops
     first = width * factor
     return [max(1, round(first + (width - first) * i / (hops - 1))) for i in range(hops)]
+
+
+def decayed_mean(priors: Column, decay: float = 0.8) -> Column:
+    """Arithmetic mean of a path's relation priors, later hops weighing less."""
+    weighted = F.aggregate(F.transform(priors, lambda p, i: p * F.pow(F.lit(decay), i)), F.lit(0.0), lambda s, x: s + x)
+    weights = F.aggregate(F.transform(priors, lambda p, i: F.pow(F.lit(decay), i)), F.lit(0.0), lambda s, x: s + x)
+    return F.coalesce(F.try_divide(weighted, weights), F.lit(0.0))
+
+
+def soft_boost(similarity: Column, low: Column, high: Column, factor: float, least: float = 0.0) -> Column:
+    """1 to ``factor`` on the line from the least to the greatest similarity; 1 below ``least``."""
+    share = F.coalesce(F.try_divide(similarity - low, high - low), F.lit(0.0))
+    return F.when(similarity < least, F.lit(1.0)).otherwise(1 + (factor - 1) * share)

@@ -210,3 +210,39 @@ def frequency_codes(items: DataFrame, column: str) -> DataFrame:
     so their one window is small."""
     g = items.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     return g.withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1)
+
+
+def hash_embedding(tokens: Column, dim: int = 16) -> Column:
+    """A stand-in encoder: the normalised sum of the tokens' seeded vectors.  Where a language model is
+    at hand, use ``encode`` with it."""
+    from graphloom.functions.vectors import normalized
+
+    one = lambda t: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", t, i.cast("string"))), 1, 6), 16, 10).cast("bigint"), F.lit(2001)) / 1000.0 - 1.0)
+    zero = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.lit(0.0))
+    return normalized(F.aggregate(F.transform(tokens, one), zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)))
+
+
+def encode(column: Column, encoder, dim: int) -> Column:
+    """Embed texts by a callable from a list of texts to a list of vectors, in Arrow batches."""
+    import pandas as pd
+
+    def run(texts):
+        return pd.Series([list(map(float, v))[:dim] for v in encoder(texts.fillna("").tolist())])
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<double>")(column)
+
+
+def detect_relations(questions: DataFrame, relations: DataFrame, part: str = "tail", n: int = 4, min_gap: float = 0.0) -> DataFrame:
+    """The relation (rel) nearest to the first or last ``n`` content words of a question (query_id,
+    text), if it is ahead of the next one by ``min_gap``: query_id, rel, score."""
+    from graphloom.functions.vectors import cosine
+
+    content = F.filter(words(F.col("text")), lambda w: ~w.isin(*STOP_WORDS))
+    window = F.slice(content, F.lit(1), F.lit(n)) if part == "head" else F.slice(content, F.greatest(F.size(content) - n + 1, F.lit(1)), F.lit(n))
+    q = questions.select("query_id", hash_embedding(window).alias("q"))
+    r = relations.select("rel").distinct().withColumn("v", hash_embedding(relation_tokens(F.col("rel"))))
+    scored = q.join(F.broadcast(r)).select("query_id", "rel", F.round(cosine(F.col("q"), F.col("v")), 9).alias("score"))  # the relations of a graph are few
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rel")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("score").over(order))
+    return ranked.where((F.col("rank") == 1) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= min_gap))).select("query_id", "rel", "score")

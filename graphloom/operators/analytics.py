@@ -243,3 +243,110 @@ def betweenness(edges: DataFrame, sources: DataFrame, depth: int = 4) -> DataFra
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("id").agg(F.sum("d").alias("score"))
+
+
+def local_moves(edges: DataFrame, initial: DataFrame | None = None, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
+    """Communities (id, cid) by moves toward the greatest gain of modularity.
+
+    Half of the nodes (by hash and round) may move in a round, so neighbours do not swap for ever."""
+    links = materialize(symmetrised(edges.select("src", "dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "links")
+    deg = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")), "degrees")
+    m2 = deg.agg(F.sum("deg")).first()[0] or 1.0
+    state = deg.select("id", F.col("id").cast("string").alias("cid")) if initial is None else deg.join(initial, "id").select("id", F.col("cid").cast("string").alias("cid"))
+    state = materialize(state, "state")
+    for k in range(rounds):
+        volume = deg.join(state, "id").groupBy("cid").agg(F.sum("deg").alias("vol"))
+        near = links.join(state.select(F.col("id").alias("dst"), "cid"), "dst").groupBy(F.col("src").alias("id"), "cid").agg(F.sum("w").alias("w"))
+        own = state.withColumn("own", F.lit(True))
+        options = near.unionByName(state.select("id", "cid", F.lit(0.0).alias("w"))).groupBy("id", "cid").agg(F.sum("w").alias("w"))
+        scored = options.join(volume, "cid").join(deg, "id").join(own, ["id", "cid"], "left")
+        rest = F.col("vol") - F.when(F.col("own"), F.col("deg")).otherwise(F.lit(0.0))
+        gain = F.round(F.col("w") - resolution * F.col("deg") * rest / m2, 9)
+        best = scored.withColumn("g", gain).groupBy("id").agg(F.min(F.struct((-F.col("g")).alias("g"), "cid")).alias("b"))
+        turn = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
+        state = materialize(state.join(best, "id").select("id", F.when(turn, F.col("b.cid")).otherwise(F.col("cid")).alias("cid")), "state")
+    return state
+
+
+def louvain(edges: DataFrame, initial: DataFrame | None = None, levels: int = 2, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
+    """Local moves, then local moves of the contracted graph; communities stay connected."""
+    state = split_disconnected(edges, local_moves(edges, initial, rounds, resolution))
+    state = materialize(state, "level")
+    for _ in range(levels - 1):
+        upper = contract(edges, state)
+        if upper.isEmpty():
+            break
+        above = local_moves(upper.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.col("w"), F.lit(1000.0)).cast("int")))), None, rounds, resolution).toDF("cid", "up")
+        state = materialize(state.join(above, "cid", "left").select("id", F.coalesce("up", "cid").alias("cid")), "level")
+    return state
+
+
+def resolution_search(edges: DataFrame, target: int, steps: int = 4, low: float = 0.2, high: float = 4.0, rounds: int = 4) -> tuple[float, int]:
+    """The resolution at which local moves give about ``target`` communities, by bisection."""
+    best = (low, 0)
+    for _ in range(steps):
+        mid = (low + high) / 2
+        n = local_moves(edges, None, rounds, mid).select("cid").distinct().count()
+        if best[1] == 0 or abs(n - target) < abs(best[1] - target):
+            best = (mid, n)
+        low, high = (mid, high) if n < target else (low, mid)
+    return best
+
+
+def query_merge(communities: DataFrame, centroids: DataFrame, query: list[float], top: int = 5, threshold: float = 0.7) -> DataFrame:
+    """Merge the communities nearest to a query whose centroid is near enough into the best one."""
+    from graphloom.functions.vectors import cosine
+
+    q = F.array(*[F.lit(float(x)) for x in query])
+    near = centroids.select("cid", F.round(cosine(F.col("centroid"), q), 9).alias("s")).where(F.col("s") >= threshold).orderBy(F.desc("s"), "cid").limit(top)
+    best = near.agg(F.min(F.struct((-F.col("s")).alias("s"), "cid")).alias("b")).select(F.col("b.cid").alias("best"))
+    moved = near.select("cid").crossJoin(best)
+    return communities.join(F.broadcast(moved), "cid", "left").select("id", F.coalesce("best", "cid").alias("cid"))  # at most ``top`` rows
+
+
+def project_features(features: DataFrame, columns: list[str], dim: int) -> DataFrame:
+    """Column-wise maximum scaling, then a fixed random matrix: id, v."""
+    top = features.agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    scaled = [F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"_{c}").cast("double")), F.lit(0.0)) for c in columns]
+    weight = lambda i, j: (((i * 2654435761 + j * 40503 + 12345) % 2001) / 1000.0 - 1.0)
+    v = F.array(*[sum((s * weight(i, j) for i, s in enumerate(scaled)), F.lit(0.0)) for j in range(dim)])
+    return features.crossJoin(top).select("id", v.alias("v"))
+
+
+def component_bridges(edges: DataFrame, vectors: DataFrame, per_component: int = 3, threshold: float = 0.0, cap: int = 100) -> DataFrame:
+    """Links between components: the best-connected nodes of each, by cosine; the best ``cap``."""
+    from graphloom.functions.vectors import cosine
+
+    comps = connected_components(edges)
+    front = comps.join(degrees(edges), F.col("node") == F.col("id")).select("component", "id", "degree")
+    order = Window.partitionBy("component").orderBy(F.desc("degree"), "id")
+    front = front.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_component).join(vectors, "id")
+    front = materialize(front.select("component", "id", "v"), "frontier")
+    # a few nodes per component; each component is matched with the ones that follow it in a ring of names
+    names = materialize(front.select("component").distinct().withColumn("k", F.row_number().over(Window.orderBy("component"))), "components")
+    nxt = names.select(F.col("component").alias("other"), (F.col("k") - 1).alias("k"))
+    pairs = names.join(nxt, "k").select("component", "other")
+    found = pairs.join(front.toDF("component", "a", "av"), "component").join(front.toDF("other", "b", "bv"), "other")
+    scored = found.select("a", "b", F.round(cosine(F.col("av"), F.col("bv")), 9).alias("score")).where(F.col("score") >= threshold)
+    return scored.orderBy(F.desc("score"), "a", "b").limit(cap)
+
+
+def partial_rebalance(edges: DataFrame, communities: DataFrame, hot: DataFrame, rounds: int = 3) -> DataFrame:
+    """New communities inside the hot ones (cid) only."""
+    inside = communities.join(hot, "cid", "left_semi").select("id")
+    sub = edges.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi")
+    fresh = label_propagation(sub, rounds).select("id", F.col("label").alias("_new"))
+    return communities.join(fresh, "id", "left").select("id", F.coalesce("_new", "cid").alias("cid"))
+
+
+def incremental_communities(edges: DataFrame, communities: DataFrame, changed: DataFrame, radius: int = 2, rounds: int = 3) -> DataFrame:
+    """Communities after changes at some nodes (id): labels are propagated again within ``radius`` hops
+    of them, starting from the present ones."""
+    from graphloom.operators.traversal import reachable
+
+    near = reachable(changed.select(F.lit(0).alias("query_id"), "id"), symmetrised(edges.select("src", "dst")), radius).select("id").distinct()
+    near = materialize(near, "ego")
+    sub = edges.join(near.select(F.col("id").alias("src")), "src", "left_semi").join(near.select(F.col("id").alias("dst")), "dst", "left_semi")
+    start = near.join(communities, "id", "left").select("id", F.coalesce("cid", "id").alias("label"))
+    fresh = label_propagation(sub, rounds, initial=start).select("id", F.col("label").alias("_new"))
+    return communities.join(fresh, "id", "full").select("id", F.coalesce("_new", "cid").alias("cid"))

@@ -168,3 +168,31 @@ def verbalise(path: Column, confidence: Column) -> Column:
     """A sentence for a path with its confidence."""
     said = F.transform(path, lambda x, i: F.when(i % 2 == 1, F.lower(F.translate(x, "_", " "))).otherwise(x))
     return F.concat(F.array_join(said, " "), F.lit(" ("), F.format_number(confidence, 2), F.lit(")."))
+
+
+def escalate(levels: list[DataFrame], least_margin: float) -> DataFrame:
+    """The answers of the first level that is sure of a query, else those of the last."""
+    out, open_queries = None, None
+    for i, found in enumerate(levels):
+        found = found if open_queries is None else found.join(open_queries, "query_id", "left_semi")
+        found = found.withColumn("level", F.lit(i + 1))
+        if i == len(levels) - 1:
+            part, open_queries = found, None
+        else:
+            sure = assess(found).where(F.col("margin") >= least_margin).select("query_id")
+            part = found.join(sure, "query_id", "left_semi")
+            open_queries = found.select("query_id").distinct().join(sure, "query_id", "left_anti")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def with_direct(answers: DataFrame, seeds: DataFrame, edges: DataFrame, base: float = 0.1, bonus: float = 1.2, diversity: float = 0.1) -> DataFrame:
+    """Answers (query_id, entity, score) with all direct neighbours of the seeds put in, a bonus for
+    those that lead back to the seed, and one for several relations to it."""
+    links = seeds.join(edges.select(F.col("src").alias("id"), "rel", F.col("dst").alias("entity")), "id")
+    direct = links.groupBy("query_id", "id", "entity").agg(F.countDistinct("rel").alias("kinds"))
+    back = edges.select(F.col("src").alias("entity"), F.col("dst").alias("id")).distinct().withColumn("back", F.lit(True))
+    direct = direct.join(back, ["entity", "id"], "left").groupBy("query_id", "entity").agg(F.max("kinds").alias("kinds"), F.max(F.coalesce("back", F.lit(False))).alias("back"))
+    both = answers.select("query_id", "entity", "score").join(direct, ["query_id", "entity"], "full")
+    score = F.coalesce("score", F.lit(base)) * F.when(F.col("back"), bonus).otherwise(1.0) * (1 + diversity * F.log1p(F.coalesce("kinds", F.lit(1)) - 1))
+    return both.select("query_id", "entity", score.alias("score"))

@@ -209,3 +209,67 @@ def breaker(decisions: DataFrame, window: int, least_share: float) -> DataFrame:
     order = Window.partitionBy("source").orderBy("at", "id").rowsBetween(-(window - 1), 0)
     share = F.avg(F.col("approved").cast("double")).over(order)
     return decisions.withColumn("share", share).withColumn("stop", (F.count("*").over(order) >= window) & (share < least_share))
+
+
+def materialise_findings(edges: DataFrame, findings: DataFrame, provenance: str = "hypothesis") -> DataFrame:
+    """Add findings (src, rel, dst, confidence) that are not there yet."""
+    new = findings.select(*KEY, "confidence").join(edges, KEY, "left_anti").withColumns({"weight": F.lit(1.0), "provenance": F.lit(provenance)})
+    return edges.unionByName(new, allowMissingColumns=True)
+
+
+def mine_candidates(sources: dict[str, DataFrame], cap: int) -> DataFrame:
+    """Candidates (a, b, score) of several finders, each pair once with its best score and finder."""
+    out = None
+    for name, df in sources.items():
+        part = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", F.lit(name).alias("finder"))
+        out = part if out is None else out.unionByName(part)
+    best = out.groupBy("a", "b").agg(F.min(F.struct((-F.col("score")).alias("k"), "finder")).alias("m"), F.countDistinct("finder").alias("finders"))
+    return best.select("a", "b", (-F.col("m.k")).alias("score"), F.col("m.finder").alias("finder"), "finders").orderBy(F.desc("score"), "a", "b").limit(cap)
+
+
+def triangulate(forward: DataFrame, backward: DataFrame, agreement: DataFrame, least: float = 0.5) -> DataFrame:
+    """Evidence from both directions and several strategies: source, target, score, bridge."""
+    back = backward.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("confidence").alias("back"))
+    joined = forward.join(back, ["source", "target"], "left").join(agreement, ["source", "target"], "left")
+    score = 0.5 * F.col("confidence") + 0.3 * F.coalesce("back", F.lit(0.0)) + 0.2 * F.coalesce("agree", F.lit(0.0))
+    return joined.select("source", "target", score.alias("score"), (score >= least).alias("bridge"))
+
+
+def ttl_prune(rows: DataFrame, now: float, most: float, at: str = "at") -> DataFrame:
+    return rows.where(F.lit(now) - F.col(at) <= most)
+
+
+def boundary_scan(vectors: DataFrame, pairs: DataFrame, threshold: float, top_k: int = 3, discount: float = 0.7) -> DataFrame:
+    """Similar nodes (id, cid, v) across adjacent communities (cu, cv), discounted: the best few of
+    each pair of communities."""
+    a = pairs.join(vectors.select(F.col("cid").alias("cu"), F.col("id").alias("a"), F.col("v").alias("av")), "cu")
+    both = a.join(vectors.select(F.col("cid").alias("cv"), F.col("id").alias("b"), F.col("v").alias("bv")), "cv")
+    scored = both.select("cu", "cv", "a", "b", F.round(cosine(F.col("av"), F.col("bv")), 9).alias("score")).where(F.col("score") >= threshold)
+    order = Window.partitionBy("cu", "cv").orderBy(F.desc("score"), "a", "b")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).withColumn("potential", F.col("score") * discount)
+
+
+def self_audit(edges: DataFrame, now: float, old: float) -> DataFrame:
+    """Five counts over the graph: weak, unsourced, stale, self-linked and duplicated edges."""
+    per = edges.groupBy(*KEY).agg(F.count("*").alias("n"))
+    counts = edges.agg(
+        F.count(F.when(F.col("confidence") < 0.5, 1)).alias("weak"),
+        F.count(F.when(F.coalesce("provenance", F.lit("")).isin("", "triples", "manual", "unknown"), 1)).alias("unsourced"),
+        F.count(F.when(F.lit(now) - F.coalesce("valid_to", "valid_from") > old, 1)).alias("stale"),
+        F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("loops"),
+    )
+    return counts.crossJoin(per.agg(F.count(F.when(F.col("n") > 1, 1)).alias("duplicated")))
+
+
+def maintenance(edges: DataFrame, uses: DataFrame, least: float, now: float, old: float) -> DataFrame:
+    """The maintenance cycle in order: drop stale, drop weak, decay weights."""
+    fresh = edges.where(F.coalesce("valid_to", "valid_from").isNull() | (F.lit(now) - F.coalesce("valid_to", "valid_from") <= old))
+    return weight_decay(confidence_prune(fresh, least), uses)
+
+
+def potentiate_sessions(edges: DataFrame, turns: DataFrame, delta: float, min_turns: int, min_follow: float) -> DataFrame:
+    """Strengthen the edges (session, src, rel, dst in ``turns``) of sessions that went on: enough
+    turns, enough of them follow-ups."""
+    good = turns.groupBy("session").agg(F.count("*").alias("n"), F.avg(F.col("follow_up").cast("double")).alias("f")).where((F.col("n") >= min_turns) & (F.col("f") >= min_follow))
+    steps = turns.join(good, "session", "left_semi").select(*KEY, F.lit(delta).alias("delta"))
+    return update_weights(edges, steps)

@@ -155,7 +155,7 @@ def update_weights(spark: SparkSession, sf: str) -> DataFrame:
     return A.update_weights(e, deltas).select("src", "rel", "dst", "weight")
 
 
-@query("C20_update_valence", ", d AS (SELECT src, rel, dst, sum(CASE WHEN confidence >= 0.75 THEN 0.3 ELSE -0.3 END)::DOUBLE AS v FROM edges WHERE src LIKE 'user:%' GROUP BY ALL) SELECT src, rel, dst, round(least(greatest(v, -1), 1), 6) AS valence FROM d", edges=True)
+@query("C20_J39_update_valence", ", d AS (SELECT src, rel, dst, sum(CASE WHEN confidence >= 0.75 THEN 0.3 ELSE -0.3 END)::DOUBLE AS v FROM edges WHERE src LIKE 'user:%' GROUP BY ALL) SELECT src, rel, dst, round(least(greatest(v, -1), 1), 6) AS valence FROM d", edges=True)
 def update_valence(spark: SparkSession, sf: str) -> DataFrame:
     e = edge_view(spark, sf, ["EVENTS"])
     outcome = e.select("src", "rel", "dst", F.when(F.col("confidence") >= 0.75, 0.3).otherwise(-0.3).alias("delta"))
@@ -291,7 +291,7 @@ def chain_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "E10_E14_path_scores",
+    "E10_E11_E12_E14_path_scores",
     _PATHS
     + """, g AS (SELECT *, [nation % 3, nation % 2, region % 2, -1] AS cseq, list_filter(prov, lambda p: p IN ('', 'triples', 'manual', 'unknown')) AS bare FROM paths),
     h AS (SELECT *, exp((ln(conf[1]) + ln(conf[2]) + ln(conf[3])) / 3) AS attn, (CASE WHEN cseq[1] = cseq[2] THEN 1.0::DOUBLE ELSE 0.5 END + CASE WHEN cseq[2] = cseq[3] THEN 1.0::DOUBLE ELSE 0.5 END) / 2 AS coh, conf[1] * conf[2] * conf[3] * pow(0.9::DOUBLE, len(bare)) AS grd FROM g)

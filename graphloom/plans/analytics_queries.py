@@ -234,7 +234,7 @@ def discovery_weights(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("cid", F.round("weight", 5).alias("weight"))
 
 
-@query("J24_confidence_prune", ", x AS (SELECT 1) SELECT src, rel, dst, confidence FROM edges WHERE src LIKE 'user:%' AND (confidence >= 0.75 OR src = 'user:1' OR dst = 'k:3')", edges=True)
+@query("J23_J24_confidence_prune", ", x AS (SELECT 1) SELECT src, rel, dst, confidence FROM edges WHERE src LIKE 'user:%' AND (confidence >= 0.75 OR src = 'user:1' OR dst = 'k:3')", edges=True)
 def confidence_prune(spark: SparkSession, sf: str) -> DataFrame:
     bridges = spark.createDataFrame([("user:1",), ("k:3",)], "id string")
     return J.confidence_prune(edge_view(spark, sf, ["EVENTS"]), 0.75, bridges).select("src", "rel", "dst", "confidence")
@@ -324,7 +324,7 @@ def hot(spark: SparkSession, sf: str) -> DataFrame:
     return h.where(ema > 20).select("cid")
 
 
-@query("G1_G2_consensus_communities", None)
+@query("G1_G2_G3_G25_consensus_communities", None)
 def consensus(spark: SparkSession, sf: str) -> DataFrame:
     return G.consensus_communities(_small(spark, sf), 4)
 
@@ -340,7 +340,7 @@ def merge_small(spark: SparkSession, sf: str) -> DataFrame:
     return G.merge_small(e, materialize(_kinds(e), "kinds"), 50)
 
 
-@query("G12_best_of", None)
+@query("G12_G26_G27_best_of", None)
 def best_of(spark: SparkSession, sf: str) -> DataFrame:
     e = _small(spark, sf)
     name, q = G.best_of(e, {"digits": _kinds(e), "types": nodes_of(e).select("id", F.col("type").alias("cid"))})

@@ -451,7 +451,7 @@ def temporal_grid(spark: SparkSession, sf: str) -> DataFrame:
     return R.temporal_grid(e, [0.0, 1.0], [0.0, 1.0], 5).withColumn("recall", r6(F.col("recall")))
 
 
-@query("R1_R3_modulators", "SELECT 0.4::DOUBLE AS sim, 10 AS width")
+@query("R1_R2_R3_R29_modulators", "SELECT 0.4::DOUBLE AS sim, 10 AS width")
 def modulators(spark: SparkSession, sf: str) -> DataFrame:
     m = R.Modulators().step()
     return spark.createDataFrame([(m.weights({"sim": 0.4, "cs": 0.4, "etw": 0.1})["sim"], m.width(10))], "sim double, width int")

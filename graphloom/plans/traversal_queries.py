@@ -49,7 +49,7 @@ h0 AS (SELECT o_orderkey AS query_id, ['order:' || o_orderkey] AS path, 'order:'
 )
 
 
-@query("D1_D4_beam_3hop", _BEAM_SQL + "SELECT query_id, array_to_string(path, '|') AS path, round(score, 6) AS score FROM beam", edges=True)
+@query("D1_D2_D3_D4_beam_3hop", _BEAM_SQL + "SELECT query_id, array_to_string(path, '|') AS path, round(score, 6) AS score FROM beam", edges=True)
 def beam_3hop(spark: SparkSession, sf: str) -> DataFrame:
     return _beam(spark, sf).select("query_id", T.path_text().alias("path"), r6(F.col("score")).alias("score"))
 
@@ -138,7 +138,7 @@ def execute_schemas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "D21_D23_predict_schemas",
+    "D21_D22_D23_predict_schemas",
     """WITH v AS (SELECT label, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1), q AS (SELECT v AS q FROM v WHERE label = 3), s AS (SELECT 'r' || label AS r1, 's' || (label % 4) AS r2, list_cosine_similarity(v, q) * CASE WHEN label % 4 IN (1, 2) THEN 1.3::DOUBLE ELSE 1.0 END AS score FROM v, q WHERE label <> 5)
     SELECT r1, r2, round(score, 5) AS score FROM s ORDER BY s.score DESC, r1 LIMIT 6""",
 )
