@@ -349,10 +349,11 @@ def first_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     stay = groups.select(F.col("r.id").alias("_id"), F.col("r.place").alias("_place"))
     # texts of groups of several documents; all others stay without a shuffle
     several = rows.where("cls is not null").select("place", "cls").distinct().join(classes.join(groups.select("grp"), "grp").select("cls"), "cls")
-    marks = marks_of(several, "place")
+    several = materialize(several.select(F.col("place").alias("_at")).distinct(), "places")
+    marks = marks_of(several, "_at")
     placed = docs.withColumn("_at", F.xxhash64(text_col))
     found = marked(placed, "_at", marks, True)
-    member = found.join(several.select(F.col("place").alias("_at")).distinct(), "_at", "left_semi").select(*placed.columns)
+    member = found.join(several, "_at", "left_semi").select(*placed.columns)
     kept = member.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_place")), "left_semi").dropDuplicates([id_col, "_at"])
-    chance = found.join(several.select(F.col("place").alias("_at")).distinct(), "_at", "left_anti").select(*placed.columns)
+    chance = found.join(several, "_at", "left_anti").select(*placed.columns)
     return marked(placed, "_at", marks, False).unionByName(kept).unionByName(chance).drop("_at")
