@@ -25,6 +25,12 @@ def texts(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
         yield from (x or b"" for x in column.slice(i, rows).cast(pa.binary()).to_pylist())
 
 
+def strings(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """A string column's values; a few rows of a batch are held at a time."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],

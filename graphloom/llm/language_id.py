@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import append_columns, emit
+from graphloom.llm.common import append_columns, emit, strings
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MAX_N = 5
@@ -161,16 +161,15 @@ def _count_items():
 
     def step(*columns):
         if columns:
-            by_lang: dict[str, Counter] = {}
-            for lang, text in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True):
-                by_lang.setdefault(lang, Counter()).update(words_of(text))
-            for lang, words in by_lang.items():
-                for word, c in words.items():
+            for lang, text in zip(columns[0].to_pylist(), strings(columns[1]), strict=True):
+                for word, c in words_of(text).items():
                     found[lang, 0, word] += c
                     for n in range(1, MAX_N + 1):
                         for g in grams_of(word, n):
                             found[lang, n, g] += c
-        if found and (not columns or len(found) > 300_000):
+                if len(found) > 150_000:
+                    yield drain()
+        elif found:
             yield drain()
 
     return step
@@ -230,7 +229,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         score = shared.value.scorer()
 
         def compute(column):
-            got = [score(x) for x in column.to_pylist()]
+            got = [score(x) for x in strings(column)]
             return [[g[0] for g in got], [min(1.0, max(0.0, g[1])) if math.isfinite(g[1]) else 0.0 for g in got]]
 
         return compute

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import append_columns, emit
+from graphloom.llm.common import append_columns, emit, strings
 from graphloom.llm.tokens import default_path, encoding
 from graphloom.storage import materialize
 
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, text_col: str, id_col: str, path: str, capacity: int
             if not columns:
                 return
             rows: list[tuple] = []
-            for doc, text in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True):
+            for doc, text in zip(columns[0].to_pylist(), strings(columns[1]), strict=True):
                 ids = np.append(encode(text or "", disallowed_special=()), END).astype("<u4")
                 for i, (start, n) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc, i, start, n, zlib.crc32(ids[start : start + n].tobytes())))
