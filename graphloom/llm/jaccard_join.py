@@ -9,7 +9,7 @@ link their members to the first one (never all pairs), and the connected compone
 are the candidate groups.
 
 Verification is exact, on 64-bit hashes of the n-grams of the whole texts: all pairs of a group are counted by
-products of incidence matrices.  A group of m classes is dealt over blocks of about 8 sqrt(m)
+products of incidence matrices.  A group of m classes is dealt over blocks of about 3 sqrt(m)
 members and a task holds two blocks, so no task or row gathers a large group.  Per class it gives the
 number of links, and per component of the links one edge for each class; no pair is ever a row.
 
@@ -304,7 +304,7 @@ def similar_groups(
     # written tables on both sides, so that a hot group's rows can be split
     sized = groups.join(materialize(groups.groupBy("cand").agg(F.count("*").alias("m")), "sizes"), "cand")
     members = sized.join(classes.select("cls", "docs", "place", "rep_id"), "cls")
-    blocks = F.ceil(F.col("m") / F.greatest(F.lit(64.0), F.lit(8.0) * F.sqrt("m"))).cast("int")
+    blocks = F.ceil(F.col("m") / F.greatest(F.lit(64.0), F.lit(3.0) * F.sqrt("m"))).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks").cast("bigint")).cast("int"))
     # one text of each class, by hash and id, so that the copies of a text spread over the shuffle;
     # a bitmap keeps texts without a partner out of it
