@@ -322,10 +322,9 @@ def component_bridges(edges: DataFrame, vectors: DataFrame, per_component: int =
     order = Window.partitionBy("component").orderBy(F.desc("degree"), "id")
     front = front.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_component).join(vectors, "id")
     front = materialize(front.select("component", "id", "v"), "frontier")
-    # a few nodes per component; each component is matched with the ones that follow it in a ring of names
-    names = materialize(front.select("component").distinct().withColumn("k", F.row_number().over(Window.orderBy("component"))), "components")
-    nxt = names.select(F.col("component").alias("other"), (F.col("k") - 1).alias("k"))
-    pairs = names.join(nxt, "k").select("component", "other")
+    # a few nodes per component; each component is matched with the least one, which joins them all
+    hub = front.agg(F.min("component").alias("other"))
+    pairs = front.select("component").distinct().crossJoin(hub).where("component <> other")
     found = pairs.join(front.toDF("component", "a", "av"), "component").join(front.toDF("other", "b", "bv"), "other")
     scored = found.select("a", "b", F.round(cosine(F.col("av"), F.col("bv")), 9).alias("score")).where(F.col("score") >= threshold)
     return scored.orderBy(F.desc("score"), "a", "b").limit(cap)

@@ -102,7 +102,8 @@ def prune(paths: DataFrame, width: int, floor: float = 0.0, gap: float = 0.0, in
 
 
 def hops(seeds: DataFrame, edges: DataFrame, max_hop: int = 3, width: int | list[int] = 10, neighbours: int = 100, at: float | None = None, penultimate_gap: float = 0.0, inhibition: float = 0.0, **scoring) -> Iterator[DataFrame]:
-    """The beam after each hop; the last hop is not pruned.  Neighbours are capped once, before."""
+    """The beam after each hop; the last hop is neither pruned nor written (it is the widest, and most
+    consumers aggregate it at once).  Neighbours are capped once, before."""
     edges = edges.where(valid_at(F.lit(at))) if at is not None else edges
     edges = materialize(cap_per_node(edges, neighbours), "capped")
     widths = width if isinstance(width, list) else [width] * max_hop
@@ -110,8 +111,7 @@ def hops(seeds: DataFrame, edges: DataFrame, max_hop: int = 3, width: int | list
     for hop in range(1, max_hop + 1):
         beam = extend(beam, edges, hop, terminal=hop == max_hop, **scoring)
         if hop < max_hop:
-            beam = prune(beam, widths[hop - 1], gap=penultimate_gap if hop == max_hop - 1 else 0.0, inhibition=inhibition)
-        beam = materialize(beam, f"beam{hop}")
+            beam = materialize(prune(beam, widths[hop - 1], gap=penultimate_gap if hop == max_hop - 1 else 0.0, inhibition=inhibition), f"beam{hop}")
         yield beam
 
 
