@@ -149,7 +149,8 @@ def composition_rule(edges: DataFrame, r1: str, r2: str, rc: str, min_support: i
     of both edges'); pairs that are linked so already are left out."""
     left, right = _two_steps(edges.where(F.col("rel").isin(r1, r2)))
     joined = left.where(F.col("r1") == r1).join(right.where(F.col("r2") == r2), "mid").where("a <> c")
-    best = joined.groupBy("a", "c").agg(F.countDistinct("mid").alias("support"), F.min(F.struct((-F.least("ca", "cb")).alias("k"), "mid")).alias("b"))
+    # both sides are distinct, so each mid node joins a pair once
+    best = joined.groupBy("a", "c").agg(F.count("*").alias("support"), F.min(F.struct((-F.least("ca", "cb")).alias("k"), "mid")).alias("b"))
     new = best.where(F.col("support") >= min_support).select(F.col("a").alias("src"), F.lit(rc).alias("rel"), F.col("c").alias("dst"), (-F.col("b.k")).alias("confidence"), "support", F.col("b.mid").alias("mid"))
     return new.join(edges, KEY, "left_anti")
 
