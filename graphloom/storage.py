@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,8 +23,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="graphloom-"))
+        root = _own[0]
     return root.rstrip("/")
 
 
