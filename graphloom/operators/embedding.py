@@ -11,8 +11,8 @@ from graphloom.functions.vectors import norm, normalized
 
 
 def seeded_vectors(nodes: DataFrame, dim: int, id_col: str = "id") -> DataFrame:
-    """Unit vectors from a stable hash of the id: the same in every process."""
-    raw = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.pmod(F.xxhash64(F.col(id_col), i), F.lit(1 << 20)) / float(1 << 19) - 1.0)
+    """Unit vectors from a stable hash of the id: the same in every process and engine."""
+    raw = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), i.cast("string"))), 1, 6), 16, 10).cast("bigint") / float(1 << 23) - 1.0)
     return nodes.select(F.col(id_col).alias("id"), normalized(raw).alias("v"))
 
 

@@ -469,10 +469,15 @@ def blend(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("vec_id", F.round(F.col("b")[0], 5).alias("first"), F.round(F.col("b")[63], 5).alias("last"))
 
 
-@query("K3_graphsage_smoothing", None)
+_UNIT = "list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+_LAYER = "{out} AS (SELECT id, n, " + _UNIT.format(v="m") + " AS v FROM (SELECT a.id, a.n, list_transform(range(1, 65), lambda i: 0.5::DOUBLE * a.v[i] + 0.5::DOUBLE * b.v[i]) AS m FROM {src} a JOIN {src} b ON b.id = a.n))"
+
+
+@query("K3_graphsage_smoothing", "WITH e AS (SELECT vec_id AS id, (vec_id * 7 + 1) % 500 AS n, embedding::DOUBLE[] AS w FROM embeddings), l0 AS (SELECT id, n, " + _UNIT.format(v="w") + " AS v FROM e), " + _LAYER.format(out="l1", src="l0") + ", " + _LAYER.format(out="l2", src="l1") + " SELECT id::VARCHAR AS id, round(v[1], 5) AS first, round(v[64], 5) AS last FROM l2")
 def graphsage(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.operators.embedding import smooth
 
     v = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), normalized(F.col("embedding")).alias("v"))
     links = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("src"), F.pmod(F.col("vec_id") * 7 + 1, F.lit(500)).cast("string").alias("dst"))
-    return smooth(v, links, layers=2)
+    got = smooth(v, links, layers=2)
+    return got.select("id", F.round(F.col("v")[0], 5).alias("first"), F.round(F.col("v")[63], 5).alias("last"))

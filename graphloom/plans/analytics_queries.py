@@ -340,7 +340,11 @@ def merge_small(spark: SparkSession, sf: str) -> DataFrame:
     return G.merge_small(e, materialize(_kinds(e), "kinds"), 50)
 
 
-@query("G12_G26_G27_best_of", None)
+def _q_sql(name: str, cid: str) -> str:
+    return f"p{name} AS (SELECT {cid.format('src')} AS cu, {cid.format('dst')} AS cv FROM s), e{name} AS (SELECT cid, count(*) AS d FROM (SELECT cu AS cid FROM p{name} UNION ALL SELECT cv FROM p{name}) GROUP BY cid), i{name} AS (SELECT cu AS cid, count(*) AS n FROM p{name} WHERE cu = cv GROUP BY cu), q{name} AS (SELECT sum(coalesce(n, 0) / m::DOUBLE - pow(d / (2.0::DOUBLE * m), 2)) AS q FROM e{name} LEFT JOIN i{name} USING (cid), (SELECT count(*) AS m FROM s))"
+
+
+@query("G12_G26_G27_best_of", _S + ", " + _q_sql("d", "split_part({0}, ':', 1) || right({0}, 1)") + ", " + _q_sql("t", "split_part({0}, ':', 1)") + " SELECT CASE WHEN qd.q >= qt.q THEN 'digits' ELSE 'types' END AS best, round(greatest(qd.q, qt.q), 6) AS q FROM qd, qt", edges=True)
 def best_of(spark: SparkSession, sf: str) -> DataFrame:
     e = _small(spark, sf)
     name, q = G.best_of(e, {"digits": _kinds(e), "types": nodes_of(e).select("id", F.col("type").alias("cid"))})

@@ -294,9 +294,10 @@ def query_merge(spark: SparkSession, sf: str) -> DataFrame:
     return G.query_merge(v.select(F.col("vec_id").alias("id"), F.col("label").alias("cid")), A.community_signatures(v), q, 3, 0.0)
 
 
-@query("G19_feature_projection", None)
+@query("G19_feature_projection", ", s AS (SELECT * FROM edges WHERE rel IN ('IN_REGION', 'LOCATED_IN') OR src LIKE 'user:%'), d AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM s UNION ALL SELECT dst FROM s) GROUP BY id) SELECT id, round(d / (max(d) OVER ())::DOUBLE * ((12345 % 2001) / 1000.0::DOUBLE - 1), 6) AS first, round(d / (max(d) OVER ())::DOUBLE * (((7 * 40503 + 12345) % 2001) / 1000.0::DOUBLE - 1), 6) AS last FROM d", edges=True)
 def feature_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return G.project_features(A.degrees(_small(spark, sf)), ["degree"], 8)
+    got = G.project_features(A.degrees(_small(spark, sf)), ["degree"], 8)
+    return got.select("id", r6(F.col("v")[0]).alias("first"), r6(F.col("v")[7]).alias("last"))
 
 
 @query("G29_P5_component_bridges", None)

@@ -281,9 +281,14 @@ def community_delta(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- embeddings
 
 
-@query("K1_seeded_vectors", None)
+@query(
+    "K1_seeded_vectors",
+    ", n AS (SELECT src AS id FROM edges WHERE rel = 'LOCATED_IN' UNION SELECT dst FROM edges WHERE rel = 'LOCATED_IN'), r AS (SELECT id, list_transform(range(1, 9), lambda i: ('0x' || substr(md5(id || '|' || i), 1, 6))::BIGINT / 8388608.0::DOUBLE - 1) AS v FROM n) SELECT id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[8] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS last FROM r",
+    edges=True,
+)
 def seeded_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return K.seeded_vectors(nodes_of(edge_view(spark, sf, ["LOCATED_IN"])), 8)
+    v = K.seeded_vectors(nodes_of(edge_view(spark, sf, ["LOCATED_IN"])), 8)
+    return v.select("id", r6(F.col("v")[0]).alias("first"), r6(F.col("v")[7]).alias("last"))
 
 
 @query("K4_K6_K7_link_prediction", None)
