@@ -184,12 +184,12 @@ def intersections(spark: SparkSession, sf: str) -> DataFrame:
     return J.intersection_nodes(p)
 
 
-@query("J1_hypothesis_confidence", None)
+@query("J1_hypothesis_confidence", ", p AS (SELECT DISTINCT a.src AS source, c.dst AS target, a.dst, b.dst FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.rel = 'FULFILLED_BY' AND b.rel = 'LOCATED_IN' AND c.rel = 'IN_REGION') SELECT source, target, count(*) AS paths, count(*)::INT AS independent, round(1 - pow(0.6::DOUBLE, count(*)), 6) AS confidence FROM p GROUP BY ALL", edges=True)
 def hypothesis_confidence(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.plans.access_queries import chain_paths
 
     p = chain_paths(spark, sf).select(F.col("n0").alias("source"), F.col("n3").alias("target"), F.array("n0", F.lit("FULFILLED_BY"), "n1", F.lit("LOCATED_IN"), "n2", F.lit("IN_REGION"), "n3").alias("path"), (F.col("conf")[0] * 0.5).alias("score"))
-    return J.hypotheses(p)
+    return J.hypotheses(p).withColumn("confidence", r6(F.col("confidence")))
 
 
 @query("J2_compose_chain", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'LOOKED' ELSE 'RELATED_TO' END AS rel FROM events")
@@ -351,7 +351,7 @@ def best_of(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(name, round(q, 6))], "best string, q double")
 
 
-@query("G17_betweenness", None)
+@query("G17_betweenness", ", l AS (SELECT src, dst FROM edges WHERE rel = 'LOCATED_IN') SELECT src AS id, 0.0::DOUBLE AS score FROM l UNION ALL SELECT n.src, (SELECT count(*) FROM l WHERE l.dst = n.src)::DOUBLE FROM edges n WHERE n.rel = 'IN_REGION'", edges=True)
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     sources = table(spark, sf, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))
     return G.betweenness(edge_view(spark, sf, ["IN_REGION", "LOCATED_IN"]), sources, 3).withColumn("score", r6(F.col("score")))
