@@ -6,6 +6,8 @@ again as the next one's ``docs``.  All but the last return the columns of ``docu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,27 +18,40 @@ from graphloom.storage import materialize
 MIN_LANGUAGE_SCORE = 0.5
 
 
+_USED = ("doc_id", "text", "lang", "source")
+
+
+def apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns that no operator needs under names of their own, so that none clashes
+    with an operator's results, and the way back to the columns as they were."""
+    name = {c: c if c in _USED else f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(name[c]) for c in docs.columns]), lambda df: df.select(*[F.col(name[c]).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or whose language stays open, go."""
-    model = language_id.train(docs)
-    found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    rows, back = apart(docs)
+    found = language_id.identify(rows, language_id.train(rows))
+    return back(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of low quality and toxic ones go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_classifier.classify(docs, labels).where("kept").select(*docs.columns)
+    rows, back = apart(docs)
+    return back(quality_classifier.classify(rows, labels).where("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays."""
-    return jaccard_join.first_of_each(docs).select(*docs.columns)
+    rows, back = apart(docs)
+    return back(jaccard_join.first_of_each(rows))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    return mixing.repeat(mixing.mix(docs)).select(*docs.columns)
+    rows, back = apart(docs)
+    return back(mixing.repeat(mixing.mix(rows)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

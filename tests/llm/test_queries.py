@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_operators import brute_links, brute_targets
 
 import __spark_entry__ as entry
@@ -84,3 +85,14 @@ def test_pipeline_against_brute_force(spark):
         ends[r.sequence_id] += r.length
     assert max(ends.values()) <= 2048
     assert "pipeline" in entry.queries()
+
+
+def test_pipeline_with_clashing_columns_nulls_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.withColumns({"size": F.lit("own"), "score": F.col("doc_id") * 2, "kept": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("bigint")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.schema.simpleString() == odd.schema.simpleString()
+        assert not out.where("size <> 'own' or score <> doc_id * 2 or kept is not null").count()
+        assert stage(spark, odd.where("false"), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.where("false"), SF).count() == 0
