@@ -136,10 +136,9 @@ def mix(
     targets = plan(narrow, source_col, weights, share, epochs)
     cut = cuts(narrow, targets, source_col)
     rows = sizes(clear, text_col, id_col, seed) if keep_text else narrow
-    out = rows.join(
-        targets.join(cut, F.col("rank") == F.col("_cut_rank"), "left").select("_source", "source_size", "target", "_epochs", "_cut", "_part"),
-        F.col(source_col).eqNullSafe(F.col("_source")),
-    )
+    # a written row per source, so that the optimizer knows its size and need not shuffle the texts
+    ends = materialize(targets.join(cut, F.col("rank") == F.col("_cut_rank"), "left").select("_source", "source_size", "target", "_epochs", "_cut", "_part"), "ends")
+    out = rows.join(ends, F.col(source_col).eqNullSafe(F.col("_source")))
     at = F.struct("_key", "_name", "size")
     part = F.when(at < F.col("_cut"), F.col("size")).when(at == F.col("_cut"), F.col("_part")).otherwise(F.lit(0))
     out = out.withColumn("taken", (F.col("size") * F.col("_epochs") + part).cast("bigint"))
