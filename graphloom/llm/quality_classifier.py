@@ -190,8 +190,9 @@ def combine(scored: DataFrame, host_col: str, path_col: str, max_shift: float) -
     sites = paths.withColumnsRenamed({host_col: "_host", path_col: "_path", "n": "_path_n"} | {f"sum_{h}": f"_path_{h}" for h in HEADS}).join(
         hosts.withColumnsRenamed({host_col: "_h", "n": "_host_n"} | {f"sum_{h}": f"_host_{h}" for h in HEADS}), F.col("_host").eqNullSafe(F.col("_h"))
     )
-    # a row per path; the optimizer broadcasts it below its own limit and splits a hot path otherwise
-    out = out.join(sites.drop("_h"), F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path")))
+    # a written row per path: the optimizer knows its size, broadcasts it below its own limit and splits a hot path otherwise
+    sites = materialize(sites.drop("_h"), "sites")
+    out = out.join(sites, F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path")))
     for h in HEADS:
         host = (F.lit(k_host[h] * prior[h]) + F.col(f"_host_{h}") - probs[h]) / (F.lit(k_host[h] - 1) + F.col("_host_n"))
         out = out.withColumn(f"host_{h}", host)

@@ -140,7 +140,7 @@ def judge(
     measured = measures(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "text")
     rated = materialize(measured.drop("text"), "measures").withColumns({r: F.when(F.col("n_words") > 0, F.expr(e)) for r, (e, _, _) in RATES.items()})
     fences = thresholds(sketches(rated.where("n_words > 0"), ["lang", "source"]), min_group, reach)
-    fences = fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
+    fences = materialize(fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"}), "fences")
     # the groups are few beside the documents; the optimizer broadcasts them below its own limit and splits a hot group otherwise
     joined = rated.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     passed = F.lit(True)
