@@ -59,6 +59,8 @@ def append_columns(
                 got = compute(*[batch.column(i) for i in at])
                 more = [pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=pa.schema([*batch.schema, *arrow]))
+                del batch, got, more
+                pa.default_memory_pool().release_unused()  # workers stay alive between tasks
 
     return slim.mapInArrow(run, schema)
 

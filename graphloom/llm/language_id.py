@@ -6,7 +6,7 @@ longest length at which any n-gram is known decides, by the mean log frequency o
 
 The model is fitted on a bounded sample of labelled rows (``docs_per_language``, chosen by a hash
 of the row, so that it is the same on every run) and holds at most ``max_entries`` words and
-n-grams, so its size does not grow with the corpus.  Prediction covers every whole text.
+n-grams (and one language for each hundred of them, the most frequent first), so its size does not grow with the corpus.  Prediction covers every whole text.
 
 Defined results: a null text, and one without a letter, gets ``und`` with score 0; so does every
 text when there are no labelled rows.  Equal scores go to the language first in code point order.
