@@ -242,7 +242,7 @@ def detect_relations(questions: DataFrame, relations: DataFrame, part: str = "ta
     window = F.slice(content, F.lit(1), F.lit(n)) if part == "head" else F.slice(content, F.greatest(F.size(content) - n + 1, F.lit(1)), F.lit(n))
     q = questions.select("query_id", hash_embedding(window).alias("q"))
     r = relations.select("rel").distinct().withColumn("v", hash_embedding(relation_tokens(F.col("rel"))))
-    scored = q.join(F.broadcast(r)).select("query_id", "rel", F.round(cosine(F.col("q"), F.col("v")), 9).alias("score"))  # the relations of a graph are few
+    scored = q.join(r).select("query_id", "rel", F.round(cosine(F.col("q"), F.col("v")), 9).alias("score"))  # the relations of a graph are few
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rel")
     ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("score").over(order))
     return ranked.where((F.col("rank") == 1) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= min_gap))).select("query_id", "rel", "score")

@@ -109,10 +109,10 @@ def find_entities(nodes: DataFrame, query: str, top_k: int) -> DataFrame:
 def vector_search(vectors: DataFrame, queries: DataFrame, top_k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Exact cosine top-k of each query vector over all vectors, itself excluded.
 
-    The queries are a stated small set; each vector is read once and a query's candidates are cut to
-    k by a partial top-k in each task before the shuffle."""
+    The queries are a stated set.  The optimizer broadcasts them if they are small and else pairs
+    blocks of both sides; a query's candidates are cut to k in each task before the shuffle."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(q), F.col("id") != F.col("query_id"))
+    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(q, F.col("id") != F.col("query_id"))
     scored = pairs.select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -55,7 +55,7 @@ def unlinked_similar(vectors: DataFrame, queries: DataFrame, edges: DataFrame, l
 
     ``vectors`` has id and v; ``queries`` is a stated set of their ids."""
     q = vectors.join(queries, "id", "left_semi").select(F.col("id").alias("a"), F.col("v").alias("av"))
-    pairs = vectors.select(F.col("id").alias("b"), F.col("v").alias("bv")).join(F.broadcast(q), F.col("a") != F.col("b"))  # the query set against all rows
+    pairs = vectors.select(F.col("id").alias("b"), F.col("v").alias("bv")).join(q, F.col("a") != F.col("b"))  # the query set against all rows, in blocks if it is large
     scored = pairs.select("a", "b", F.round(cosine(F.col("av"), F.col("bv")), 9).alias("score")).where((F.col("score") >= low) & (F.col("score") <= high))
     linked = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     linked = linked.union(linked.select("b", "a")).distinct()

@@ -45,7 +45,7 @@ def rotation_distance(h, phase, t):
 def predict_links(queries: DataFrame, relations: DataFrame, entities: DataFrame, top_k: int) -> DataFrame:
     """Nearest tails of each (head, relation) by translation distance, over all entities."""
     q = queries.join(relations, "rel").select("head", "rel", F.zip_with("hv", "rv", lambda a, b: a + b).alias("aim"))
-    scored = entities.join(F.broadcast(q), F.col("id") != F.col("head")).select("head", "rel", "id", norm(F.zip_with("aim", "v", lambda a, b: a - b)).alias("distance"))
+    scored = entities.join(q, F.col("id") != F.col("head")).select("head", "rel", "id", norm(F.zip_with("aim", "v", lambda a, b: a - b)).alias("distance"))
     order = Window.partitionBy("head", "rel").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 

@@ -238,7 +238,7 @@ _SIMILAR = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM emb
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("u"), F.col("embedding").alias("eu"), F.col("label").alias("cu"))
-    return v.select(F.col("vec_id").alias("w"), "embedding", F.col("label").alias("cv")).join(F.broadcast(q), F.col("u") != F.col("w")).withColumn("sim", cosine(F.col("eu"), F.col("embedding")))
+    return v.select(F.col("vec_id").alias("w"), "embedding", F.col("label").alias("cv")).join(q, F.col("u") != F.col("w")).withColumn("sim", cosine(F.col("eu"), F.col("embedding")))
 
 
 @query(
