@@ -113,7 +113,7 @@ def train(
     id_col: str = "doc_id",
     use: Column | None = None,
     docs_per_language: int = 3000,
-    max_entries: int = 240_000,
+    max_entries: int = 120_000,
 ) -> LanguageModel:
     """Fit on about ``docs_per_language`` labelled rows of each language at most.
 
@@ -144,10 +144,10 @@ def train(
         quota = max(10, max_entries // ((MAX_N + 1) * len(languages)))
         kept = counts.join(F.broadcast(_floors(counts, quota)), ["lang", "n"]).where(F.col("c") >= F.col("floor"))
         totals = {(r.lang, r.n): r.c for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
-        entries = kept.select("lang", "n", "item", "c").collect()
+        entries = kept.select("lang", "n", "item", "c").toArrow()  # columns, not a row object each
     finally:
         counts.unpersist()
-    return assemble(languages, [tuple(r) for r in entries], totals)
+    return assemble(languages, list(zip(*(c.to_pylist() for c in entries.columns))), totals)
 
 
 def _count_items():

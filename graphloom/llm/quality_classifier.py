@@ -130,13 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
         return compute
 
-    got = append_columns(rows, ["text"], "features binary", make).select("quality", "toxic", "doc_id", "features").collect()
-    got = sorted(got, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.features))
-    found = [np.frombuffer(r.features, np.uint32) for r in got]
+    got = append_columns(rows, ["text"], "features binary", make).select("quality", "toxic", "doc_id", "features").toArrow()  # columns, not a row object each
+    label = {h: got[h].to_pylist() for h in HEADS}
+    names = [zlib.crc32(str(x).encode()) for x in got["doc_id"].to_pylist()]
+    found = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["features"]]
+    order = sorted(range(len(found)), key=lambda i: (names[i], found[i].tobytes()))
     out = {}
     for head in HEADS:
-        known = [i for i, r in enumerate(got) if r[head] is not None]
-        out[head] = fit_and_cut([found[i] for i in known], np.array([float(got[i][head] > 0) for i in known]))
+        known = [i for i in order if label[head][i] is not None]
+        out[head] = fit_and_cut([found[i] for i in known], np.array([float(label[head][i] > 0) for i in known]))
     return Classifier(out)
 
 
