@@ -1,8 +1,9 @@
 """License scanning by ordered signature rules.
 
 A text is lower-cased (A-Z) and cut into words; the rules are regular expressions over the words
-joined by single spaces.  A rule runs only where all its keywords occur, which one Aho-Corasick
-pass over the text finds out.  Detections are intervals of words.  One is suppressed if a detection
+joined by single spaces.  A rule runs only where all words of one of its prefilters occur, which one
+Aho-Corasick pass over the text finds out.  The prefilters come from the pattern: the listed keywords
+that every match has as words, else other words that every match has, else a prefilter per spelling.  Detections are intervals of words.  One is suppressed if a detection
 of better rank covers it: rank is the rule's priority, then the longer interval, then the earlier
 rule.  What survives gives the labels.
 
@@ -17,6 +18,7 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
+from re import _parser as regex
 from typing import NamedTuple
 
 import ahocorasick
@@ -29,6 +31,7 @@ from graphloom.llm.common import append_columns, texts
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 #: Rules in order of text: label | priority (1 best) | keywords | pattern over lower-case words.
+#: Keywords say which words to look for first; those that a match can do without are not needed.
 #: Priorities: 1 license texts, 2 grants and notices, 3 identifiers and names with a version,
 #: 4 names, 5 mentions.
 SIGNATURES = r"""
@@ -314,6 +317,8 @@ class Rule:
     priority: int
     keywords: tuple[bytes, ...]
     pattern: re.Pattern
+    #: a match has all words of one of these
+    needs: tuple[frozenset[bytes], ...] = ()
 
 
 class Detection(NamedTuple):
@@ -324,11 +329,47 @@ class Detection(NamedTuple):
     last: int
 
 
+#: Stands for characters that a match may choose; a word with it is not known.
+_ANY = "\0"
+
+
+def _spellings(parsed) -> set[str]:
+    """All texts that a parsed pattern matches, with ``_ANY`` for what is free."""
+    out = {""}
+    for op, arg in parsed:
+        if op is regex.LITERAL:
+            ways = {chr(arg)}
+        elif op is regex.SUBPATTERN:
+            ways = _spellings(arg[-1])
+        elif op is regex.BRANCH:
+            ways = set().union(*map(_spellings, arg[1]))
+        elif op is regex.MAX_REPEAT and arg[:2] == (0, 1):
+            ways = {""} | _spellings(arg[2])
+        elif op in (regex.IN, regex.ANY) or (op is regex.MIN_REPEAT and arg[0] > 0):
+            ways = {_ANY}
+        else:
+            raise ValueError(f"no prefilter for {op} in a license rule")
+        out = {a + b for a in out for b in ways}
+    return out
+
+
+def prefilters(pattern: str, keywords: list[str]) -> tuple[frozenset[bytes], ...]:
+    """Sets of words such that every match of the pattern has all words of one of them."""
+    spelled = {frozenset(w for w in x.split() if _ANY not in w) for x in _spellings(regex.parse(pattern))}
+    always = frozenset.intersection(*spelled)
+    if always:
+        chosen = [always & set(keywords) or sorted(always, key=lambda w: (-len(w), w))[:3]]
+    else:
+        chosen = [x for x in spelled if not any(y < x for y in spelled)]
+    return tuple(sorted((frozenset(w.encode() for w in x) for x in chosen), key=sorted))
+
+
 def parse_rules(signatures: str) -> list[Rule]:
     out = []
     for line in signatures.strip().splitlines():
         label, priority, keywords, pattern = (x.strip() for x in line.split(" | ", 3))
-        out.append(Rule(label, int(priority), tuple(dict.fromkeys(keywords.encode().split())), re.compile(rf"(?<= )(?:{pattern})(?= )".encode())))
+        words = list(dict.fromkeys(keywords.split()))
+        out.append(Rule(label, int(priority), tuple(w.encode() for w in words), re.compile(rf"(?<= )(?:{pattern})(?= )".encode()), prefilters(pattern, words)))
     return out
 
 
@@ -337,23 +378,27 @@ class Scanner:
 
     def __init__(self, rules: list[Rule]):
         self.rules = rules
-        self.needs: list[frozenset[int]] = []
+        #: (rule, its keywords' numbers) per prefilter
+        self.needs: list[tuple[int, frozenset[int]]] = []
         ids: dict[bytes, int] = {}
-        for rule in rules:
-            self.needs.append(frozenset(ids.setdefault(k, len(ids)) for k in rule.keywords))
+        for r, rule in enumerate(rules):
+            for need in rule.needs:
+                self.needs.append((r, frozenset(ids.setdefault(k, len(ids)) for k in sorted(need))))
+        self.always = [r for r, need in self.needs if not need]
         self.by_keyword: dict[int, list[int]] = {}
-        for r, need in enumerate(self.needs):
+        for i, (_, need) in enumerate(self.needs):
             for k in need:
-                self.by_keyword.setdefault(k, []).append(r)
+                self.by_keyword.setdefault(k, []).append(i)
         self.automaton = ahocorasick.Automaton()
         for k, i in ids.items():
             self.automaton.add_word(f" {k.decode()} ", i)
         self.automaton.make_automaton()
 
     def candidates(self, line: bytes) -> list[int]:
-        """Rules all of whose keywords are among the words of the line, in order."""
+        """Rules with a prefilter all of whose words are among the words of the line, in order."""
         found = {i for _, i in self.automaton.iter(line.decode("latin-1"))}
-        return sorted({r for k in found for r in self.by_keyword[k] if self.needs[r] <= found})
+        near = {i for k in found for i in self.by_keyword[k]}
+        return sorted({r for r, need in map(self.needs.__getitem__, near) if need <= found}.union(self.always))
 
     def scan(self, text: bytes) -> tuple[int, list[Detection]]:
         """Number of words, and all detections in order of place and rule."""

@@ -126,6 +126,35 @@ def test_license_rules_are_many_and_suppressed_by_rank():
         assert rule.keywords, r
 
 
+def test_license_prefilter_passes_what_patterns_match():
+    scanner = license_scan.default_scanner()
+    spelled = {
+        "Creative Commons Attribution-Share Alike 3.0": "cc-by-sa",
+        "Creative Commons Attribution Non-Commercial 3.0": "cc-by-nc",
+        "Creative Commons Attribution-NonCommercial-Share Alike": "cc-by-nc-sa",
+        "Creative Commons Attribution Non Commercial No Derivs": "cc-by-nc-nd",
+        "the Beer-Ware License": "beerware",
+        "beerware license": "beerware",
+        "the revised BSD license": "bsd-3-clause",
+        "modified BSD": "bsd-3-clause",
+        "All advertising materials mentioning features or use of this software must display the following acknowledgment": "bsd-4-clause",
+        "CreativeML Open RAIL-M": "openrail",
+        "OpenRAIL": "openrail",
+        "Enlightenment License": "mit-advertising",
+        "You may not use this file except in compliance with the License": "apache-2.0",
+    }
+    for text, label in spelled.items():
+        assert label in {d.label for d in scanner.scan(text.encode())[1]}, text
+    assert scanner.scan(b"a text of the usual kind, with a license")[1] == []
+    for r, rule in enumerate(scanner.rules):  # every spelling of every pattern
+        parsed = license_scan.regex.parse(rule.pattern.pattern.decode()[6:-5])
+        for text in license_scan._spellings(parsed):
+            for fill in "12345abcsx":
+                line = f" {text.replace(license_scan._ANY, fill)} ".encode()
+                if rule.pattern.search(line):
+                    assert r in scanner.candidates(line), (rule.label, line)
+
+
 def test_survivors_match_brute_force():
     r = random.Random(3)
     for _ in range(200):
