@@ -245,12 +245,17 @@ def betweenness(edges: DataFrame, sources: DataFrame, depth: int = 4) -> DataFra
     return out.groupBy("id").agg(F.sum("d").alias("score"))
 
 
-def local_moves(edges: DataFrame, initial: DataFrame | None = None, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
+def local_moves(edges: DataFrame, initial: DataFrame | None = None, rounds: int = 6, resolution: float = 1.0, weight_col: str | None = None) -> DataFrame:
     """Communities (id, cid) by moves toward the greatest gain of modularity.
 
-    Half of the nodes (by hash and round) may move in a round, so neighbours do not swap for ever."""
-    links = materialize(symmetrised(edges.select("src", "dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "links")
-    deg = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")), "degrees")
+    Half of the nodes (by hash and round) may move in a round, so neighbours do not swap for ever.
+    Without ``weight_col`` an edge weighs 1 and loops are left out; with it, a loop is what lies inside a
+    node of a contracted graph and adds twice its weight to the node's degree."""
+    weight = F.col(weight_col) if weight_col else F.lit(1.0)
+    ends = symmetrised(edges.select("src", "dst", weight.cast("double").alias("w")))
+    ends = materialize((ends if weight_col else ends.where("src <> dst")).groupBy("src", "dst").agg(F.sum("w").alias("w")), "links")
+    links = ends.where("src <> dst")
+    deg = materialize(ends.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")), "degrees")
     m2 = deg.agg(F.sum("deg")).first()[0] or 1.0
     state = deg.select("id", F.col("id").cast("string").alias("cid")) if initial is None else deg.join(initial, "id").select("id", F.col("cid").cast("string").alias("cid"))
     state = materialize(state, "state")
@@ -269,14 +274,18 @@ def local_moves(edges: DataFrame, initial: DataFrame | None = None, rounds: int
 
 
 def louvain(edges: DataFrame, initial: DataFrame | None = None, levels: int = 2, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
-    """Local moves, then local moves of the contracted graph; communities stay connected."""
+    """Local moves, then local moves of the contracted graph; communities stay connected.
+
+    Contracted links and loops keep the whole number of edges as their weight."""
     state = split_disconnected(edges, local_moves(edges, initial, rounds, resolution))
     state = materialize(state, "level")
     for _ in range(levels - 1):
-        upper = contract(edges, state)
-        if upper.isEmpty():
+        cu, cv = state.toDF("src", "cu"), state.toDF("dst", "cv")
+        placed = edges.select("src", "dst").where("src <> dst").join(cu, "src").join(cv, "dst")
+        upper = materialize(placed.groupBy(F.col("cu").alias("src"), F.col("cv").alias("dst")).agg(F.count("*").cast("double").alias("w")), "upper")
+        if upper.where("src <> dst").isEmpty():
             break
-        above = local_moves(upper.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.col("w"), F.lit(1000.0)).cast("int")))), None, rounds, resolution).toDF("cid", "up")
+        above = local_moves(upper, None, rounds, resolution, "w").toDF("cid", "up")
         state = materialize(state.join(above, "cid", "left").select("id", F.coalesce("up", "cid").alias("cid")), "level")
     return state
 

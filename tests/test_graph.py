@@ -135,3 +135,25 @@ def test_public_api(spark, triangles, tmp_path):
     assert done.edges.where("rel = 'KNOWN_BY'").count() == 3
     g.save(str(tmp_path / "g"))
     assert Graph.open(spark, str(tmp_path / "g")).query(ids(spark, "alice")).count() == found.count()
+
+
+def repeated(spark, rows):
+    """Edges (src, dst), each as often as the third column says."""
+    return spark.createDataFrame(rows, "src string, dst string, n int").selectExpr("src", "dst", "explode(sequence(1, n))").select("src", "dst")
+
+
+def communities(df):
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.cid, set()).add(r.id)
+    return sorted(map(sorted, by.values()))
+
+
+def test_louvain_upper_level_keeps_weights_and_loops(spark):
+    pairs = [(f"{x}1", f"{x}2", 6000) for x in "abcd"]
+    links = [("a1", "d1", 5000), ("b1", "c1", 5000), ("a2", "b2", 1200), ("c2", "d2", 1200)]
+    got = communities(analytics.louvain(repeated(spark, pairs + links), None, 2, 6))
+    assert got == [["a1", "a2", "d1", "d2"], ["b1", "b2", "c1", "c2"]]  # the heavier links, though all are above 1000
+    cliques = [(f"{x}{i}", f"{x}{j}", 1) for x in "ab" for i in range(5) for j in range(i)]
+    got = communities(analytics.louvain(repeated(spark, [*cliques, ("a0", "b0", 1)]), None, 2, 6))
+    assert got == [[f"{x}{i}" for i in range(5)] for x in "ab"]  # one link does not join two cliques
