@@ -6,7 +6,8 @@ longest length at which any n-gram is known decides, by the mean log frequency o
 
 The model is fitted on a bounded sample of labelled rows (``docs_per_language``, chosen by a hash
 of the row, so that it is the same on every run) and holds at most ``max_entries`` words and
-n-grams (and one language for each hundred of them, the most frequent first), so its size does not grow with the corpus.  Prediction covers every whole text.
+n-grams of each language, so its size grows with the languages but not with the corpus.  All
+languages of the labelled rows are learnt.  Prediction covers every whole text.
 
 Defined results: a null text, and one without a letter, gets ``und`` with score 0; so does every
 text when there are no labelled rows.  Equal scores go to the language first in code point order.
@@ -22,6 +23,8 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,9 +116,10 @@ def train(
     id_col: str = "doc_id",
     use: Column | None = None,
     docs_per_language: int = 3000,
-    max_entries: int = 120_000,
+    max_entries: int = 60_000,
 ) -> LanguageModel:
-    """Fit on about ``docs_per_language`` labelled rows of each language at most.
+    """Fit on about ``docs_per_language`` labelled rows of each language at most, and keep about
+    ``max_entries`` words and n-grams of each, the same share of every length.
 
     ``use`` marks the rows that may be learnt from.
     """
@@ -123,7 +127,7 @@ def train(
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if use is not None:
         rows = rows.where(use)
-    found = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_entries // 100).collect()}
+    found = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     languages = sorted(found)
     if not languages:
         return LanguageModel([], [{} for _ in range(MAX_N + 1)], np.zeros((0, 0)))
@@ -131,7 +135,7 @@ def train(
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     sample = (
         rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
-        .join(F.broadcast(share), "lang")  # one row per language of the limit above
+        .join(F.broadcast(share), "lang")  # one row per language
         .where(F.col("draw") < F.col("share"))
     )
     counts = (
@@ -141,13 +145,13 @@ def train(
     )
     counts = counts.persist()
     try:
-        quota = max(10, max_entries // ((MAX_N + 1) * len(languages)))
+        quota = max(10, max_entries // (MAX_N + 1))
         kept = counts.join(F.broadcast(_floors(counts, quota)), ["lang", "n"]).where(F.col("c") >= F.col("floor"))
         totals = {(r.lang, r.n): r.c for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
         entries = kept.select("lang", "n", "item", "c").toArrow()  # columns, not a row object each
     finally:
         counts.unpersist()
-    return assemble(languages, list(zip(*(c.to_pylist() for c in entries.columns))), totals)
+    return assemble_columns(languages, entries, totals)
 
 
 def _count_items():
@@ -199,26 +203,30 @@ def _floors(counts: DataFrame, quota: int) -> DataFrame:
 
 def assemble(languages: list[str], entries: list[tuple[str, int, str, int]], totals: dict) -> LanguageModel:
     """Table of floored log frequencies from (language, length, item, count)."""
-    index: list[dict[str, int]] = [{} for _ in range(MAX_N + 1)]
+    names, kinds = ("lang", "n", "item", "c"), (pa.string(), pa.int32(), pa.string(), pa.int64())
+    columns = zip(*entries) if entries else ([], [], [], [])
+    return assemble_columns(languages, pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, kinds)}), totals)
+
+
+def assemble_columns(languages: list[str], entries: pa.Table, totals: dict) -> LanguageModel:
+    """The same from Arrow columns lang, n, item and c, without a Python object for each row."""
+    index: list[dict[str, int]] = []
+    parts = []
     size = 0
-    for _, n, item, _ in sorted(entries, key=lambda e: (e[1], e[2])):
-        if item not in index[n]:
-            index[n][item] = size
-            size += 1
-    where = {k: i for i, k in enumerate(languages)}
-    counts = np.zeros((size, len(languages)))
-    kinds = np.zeros(size, dtype=int)
-    for lang, n, item, c in entries:
-        row = index[n][item]
-        counts[row, where[lang]] = c
-        kinds[row] = n
-    table = np.zeros_like(counts)
     for n in range(MAX_N + 1):
-        rows = kinds == n
+        own = entries.filter(pc.equal(entries["n"], n))
+        items = pc.unique(own["item"])
+        items = items.take(pc.sort_indices(items))
+        counts = np.zeros((len(items), len(languages)))
+        row = pc.index_in(own["item"], value_set=items).to_numpy()
+        column = pc.index_in(own["lang"], value_set=pa.array(languages, own["lang"].type)).to_numpy()
+        counts[row, column] = own["c"].to_numpy()
         total = np.maximum([float(totals.get((k, n), 0)) for k in languages], 1.0)
         # one floor for all, or a language with little text would win what it has never seen
-        table[rows] = np.log(np.maximum(counts[rows] / total, 0.5 / total.max()))
-    return LanguageModel(languages, index, table)
+        parts.append(np.log(np.maximum(counts / total, 0.5 / total.max())))
+        index.append(dict(zip(items.to_pylist(), range(size, size + len(items)))))
+        size += len(items)
+    return LanguageModel(languages, index, np.concatenate(parts))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -82,6 +82,22 @@ def test_language_id_backs_off_to_shorter_grams():
     assert full("qz wz ez rz qxyq")[0] == model.predict("qz wz ez rz qxyq")[0]
 
 
+def test_language_id_keeps_as_many_entries_of_each_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, i: f"{letters[k]}{letters[i % 26]}{letters[i // 26 % 26]}{letters[i // 676]}q"
+    text = lambda k, n: " ".join(word(k, i) for i in range(n))
+    rows = [(k, text(k, 2000), f"l{k:02d}") for k in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 20
+    assert all(word(k, i) in model.index[0] for k in range(20) for i in range(2000))
+    few = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_entries=600)
+    assert len(few.languages) == 20
+    # four languages keep what they kept before the entries were halved
+    rows = [(k, text(k, 8000), f"l{k:02d}") for k in range(4)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.index[0]) == 32_000
+
+
 def test_language_id_held_out_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
