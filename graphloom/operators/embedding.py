@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import norm, normalized
+from graphloom.storage import materialize
 
 
 def seeded_vectors(nodes: DataFrame, dim: int, id_col: str = "id") -> DataFrame:
@@ -50,31 +53,58 @@ def predict_links(queries: DataFrame, relations: DataFrame, entities: DataFrame,
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def fit_translation(edges: DataFrame, dim: int = 16, epochs: int = 30, rate: float = 0.05, margin: float = 1.0, max_edges: int = 50_000, seed: int = 7) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """TransE by margin ranking, on the driver from at most ``max_edges`` edges (chosen by hash).
-
-    Returns entity and relation vectors."""
-    rows = edges.select("src", "rel", "dst").distinct().orderBy(F.xxhash64("src", "rel", "dst")).limit(max_edges).toPandas()
-    names = sorted(set(rows.src) | set(rows.dst))
-    rels = sorted(set(rows.rel))
-    at, ar = {n: i for i, n in enumerate(names)}, {r: i for i, r in enumerate(rels)}
-    h, r, t = rows.src.map(at).to_numpy(), rows.rel.map(ar).to_numpy(), rows.dst.map(at).to_numpy()
-    draw = np.random.default_rng(seed)
-    e, w = draw.normal(0, 0.1, (len(names), dim)), draw.normal(0, 0.1, (len(rels), dim))
-    for _ in range(epochs):
-        wrong = draw.integers(0, len(names), len(t))
-        good, bad = e[h] + w[r] - e[t], e[h] + w[r] - e[wrong]
-        lose = (margin + (good**2).sum(1) - (bad**2).sum(1)) > 0
-        step = rate * 2
-        for ids, change in ((h, good - bad), (t, -good), (wrong, bad)):
-            g, n = np.zeros_like(e), np.bincount(ids[lose], minlength=len(e))[:, None]
-            np.add.at(g, ids[lose], change[lose])
-            e -= step * g / np.maximum(n, 1)
-        g, n = np.zeros_like(w), np.bincount(r[lose], minlength=len(w))[:, None]
-        np.add.at(g, r[lose], (good - bad)[lose])
-        w -= step * g / np.maximum(n, 1)
-        e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1.0)
-    return pd.DataFrame({"id": names, "v": e.tolist()}), pd.DataFrame({"rel": rels, "v": w.tolist()})
+def numbered(nodes: DataFrame, per_bucket: int = 10_000) -> DataFrame:
+    """Numbers 0 to n - 1 for distinct ids: id, no.  Ids are numbered within hash buckets, so no sort is global."""
+    buckets = nodes.count() // per_bucket + 1
+    ids = nodes.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    sizes = ids.groupBy("b").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("b")) - F.col("n")).select("b", "before")  # a row per bucket
+    within = F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1
+    return ids.withColumn("k", within).join(before, "b").select("id", (F.col("before") + F.col("k")).alias("no"))
+
+
+def _normal(no: str, dim: int, seed: int):
+    """``dim`` draws of a normal distribution with deviation 0.1, by hashes of the number."""
+    even = lambda i, part: (F.pmod(F.xxhash64(F.lit(seed), F.col(no), F.lit(i), F.lit(part)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    return F.array(*[0.1 * F.sqrt(-2.0 * F.log(even(i, 0))) * F.cos(2.0 * math.pi * even(i, 1)) for i in range(dim)])
+
+
+def fit_translation(edges: DataFrame, dim: int = 16, epochs: int = 30, rate: float = 0.05, margin: float = 1.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """TransE by margin ranking on all distinct edges: (id, v) of entities and (rel, v) of relations.
+
+    An epoch joins the edges with the vectors of head, tail, relation and a drawn wrong tail, and takes
+    the mean step of each vector with partial sums, so a hub's edges are never gathered."""
+    rows = materialize(edges.select("src", "rel", "dst").distinct(), "edges")
+    ids = materialize(numbered(rows.select(F.col("src").alias("id")).union(rows.select("dst")).distinct()), "ids")
+    # entities have numbers from 0 on, relations -1, -2, ...: one table holds the vectors of both
+    rels = materialize(numbered(rows.select(F.col("rel").alias("id")).distinct()).select("id", (-1 - F.col("no")).alias("no")), "rels")
+    names = ids.count()
+    if not names:
+        empty = [s.select("id").withColumn("v", F.array().cast("array<double>")) for s in (ids, rels)]
+        return empty[0], empty[1].withColumnRenamed("id", "rel")
+    links = rows.join(ids.toDF("src", "h"), "src").join(ids.toDF("dst", "t"), "dst").join(rels.toDF("rel", "r"), "rel")
+    links = materialize(links.select("h", "r", "t"), "links")
+    state = materialize(ids.select("no").union(rels.select("no")).select("no", _normal("no", dim, seed).alias("v")), "vectors")
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    for k in range(epochs):
+        batch = links.withColumn("x", F.pmod(F.xxhash64("h", "r", "t", F.lit(seed), F.lit(k)), F.lit(names)))
+        for c in ("h", "r", "t", "x"):
+            batch = batch.join(state.select(F.col("no").alias(c), F.col("v").alias(f"v{c}")), c)
+        aim = plus(F.col("vh"), F.col("vr"))
+        batch = batch.select("h", "r", "t", "x", minus(aim, F.col("vt")).alias("good"), minus(aim, F.col("vx")).alias("bad"))
+        lose = batch.where(margin + square(F.col("good")) - square(F.col("bad")) > 0).withColumn("gap", minus(F.col("good"), F.col("bad")))
+        parts = [("h", "gap", 1.0), ("t", "good", -1.0), ("x", "bad", 1.0), ("r", "gap", 1.0)]
+        steps = F.explode(F.array(*[F.struct(F.col(c).alias("no"), F.lit(c).alias("as"), F.transform(g, lambda y, f=f: f * y).alias("g")) for c, g, f in parts]))
+        steps = lose.select(steps.alias("s")).select("s.*")
+        # the mean over each part an entity plays, added up
+        means = steps.groupBy("no").agg(*[sum(F.coalesce(F.avg(F.when(F.col("as") == c, F.col("g")[i])), F.lit(0.0)) for c, _, _ in parts).alias(f"g{i}") for i in range(dim)])
+        moved = state.join(means.select("no", F.array(*[f"g{i}" for i in range(dim)]).alias("g")), "no", "left")
+        moved = moved.select("no", F.when(F.col("g").isNull(), F.col("v")).otherwise(F.zip_with("v", "g", lambda v, g: v - 2 * rate * g)).alias("v"))
+        size = F.when(F.col("no") < 0, F.lit(1.0)).otherwise(F.greatest(norm(F.col("v")), F.lit(1.0)))
+        state = materialize(moved.withColumn("size", size).select("no", F.transform("v", lambda y: y / F.col("size")).alias("v")), "vectors")
+    return ids.join(state, "no").select("id", "v"), rels.join(state, "no").select(F.col("id").alias("rel"), "v")
 
 
 def procrustes(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -294,9 +294,7 @@ def seeded_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("K4_K6_K7_link_prediction", None)
 def link_prediction(spark: SparkSession, sf: str) -> DataFrame:
     e = edge_view(spark, sf, ["LOCATED_IN", "IN_REGION"])
-    entities, relations = K.fit_translation(e, 8, 20, max_edges=5000)
-    ent = spark.createDataFrame(entities, "id string, v array<double>")
-    rel = spark.createDataFrame(relations, "rel string, v array<double>")
+    ent, rel = K.fit_translation(e, 8, 20)
     heads = ent.where(F.startswith("id", F.lit("nation:"))).select(F.col("id").alias("head"), F.col("v").alias("hv")).withColumn("rel", F.lit("IN_REGION"))
     return K.predict_links(heads, rel.select("rel", F.col("v").alias("rv")), ent.where(F.startswith("id", F.lit("region:"))), 3)
 

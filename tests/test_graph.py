@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.api import Graph
 from graphloom.functions import scoring, text
-from graphloom.operators import access, analytics, answers, causal, discovery, rules, traversal
+from graphloom.operators import access, analytics, answers, causal, discovery, embedding, rules, traversal
 from graphloom.operators.components import connected_components
 from graphloom.sources.files import from_triples
 
@@ -157,3 +157,15 @@ def test_louvain_upper_level_keeps_weights_and_loops(spark):
     cliques = [(f"{x}{i}", f"{x}{j}", 1) for x in "ab" for i in range(5) for j in range(i)]
     got = communities(analytics.louvain(repeated(spark, [*cliques, ("a0", "b0", 1)]), None, 2, 6))
     assert got == [[f"{x}{i}" for i in range(5)] for x in "ab"]  # one link does not join two cliques
+
+
+def test_translation_is_trained_on_all_edges(spark):
+    kinds = spark.range(60_000).selectExpr("concat('a', id) AS src", "'R' AS rel", "concat('hub', id % 3) AS dst")
+    ent, rel = embedding.fit_translation(kinds, 4, 2)
+    assert ent.count() == 60_003 and rel.count() == 1
+    assert ent.where("exists(v, x -> isnan(x) OR x IS NULL) OR size(v) <> 4").isEmpty()
+    small = spark.createDataFrame([(f"a{i}", "R", f"hub{i % 2}") for i in range(40)], "src string, rel string, dst string")
+    ent, rel = embedding.fit_translation(small, 8, 40)
+    heads = ent.where("id LIKE 'a%'").selectExpr("id AS head", "v AS hv", "'R' AS rel")
+    best = embedding.predict_links(heads, rel.selectExpr("rel", "v AS rv"), ent.where("id LIKE 'hub%'"), 1).collect()
+    assert sum(r.id == f"hub{int(r.head[1:]) % 2}" for r in best) >= 36
