@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_links, brute_targets
+from test_llm_operators import brute_links, brute_targets
 
 import __spark_entry__ as entry
 import corpus_pipeline
