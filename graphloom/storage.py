@@ -48,7 +48,15 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a frame that ``materialize`` gave, once nothing reads them any more."""
+    drop(table.sparkSession, table._shared_path)
+    _made.remove((table.sparkSession, table._shared_path))
 
 
 def drop(spark: SparkSession, path: str) -> None:
