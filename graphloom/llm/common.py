@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,28 +43,56 @@ def append_columns(
 
     ``outputs`` is a DDL string.  Input columns of the same name (without regard to case) are
     replaced; all others pass through.  ``make`` is called once per task and returns a function
-    from the input arrays to one list per output.
+    from the input arrays to one list per output.  Only ``inputs`` go to the Python worker and only
+    the new columns come back; the other columns wait in the JVM, in a queue that spills.
     """
     added = T.StructType.fromDDL(outputs)
     new = {f.name.lower() for f in added}
     if clash := [c for c in inputs if c.lower() in new]:
         raise ValueError(f"input columns {clash} are also outputs")
-    slim = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
-    schema = T.StructType([*slim.schema.fields, *added.fields])
-    at = [[c.lower() for c in slim.columns].index(c.lower()) for c in inputs]
-    arrow = [pa.field(f.name, _arrow(f.dataType)) for f in added]
+    slim = [c for c in df.columns if c.lower() not in new]
+    kind = pa.struct([pa.field(f.name, _arrow(f.dataType)) for f in added])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator) -> Iterator[pa.Array]:
         compute = make()
-        for batch in batches:
-            if batch.num_rows:
-                got = compute(*[batch.column(i) for i in at])
-                more = [pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=pa.schema([*batch.schema, *arrow]))
-                del batch, got, more
-                pa.default_memory_pool().release_unused()  # workers stay alive between tasks
-
-    return slim.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                columns = [batch] if isinstance(batch, pa.Array) else list(batch)
+                rows = len(columns[0])
+                got = compute(*columns) if rows else [[]] * len(kind)
+                del batch, columns
+                out = pa.StructArray.from_arrays([pa.array(x, type=f.type) for x, f in zip(got, kind, strict=True)], fields=list(kind))
+                del got
+                yield out
+                del out
+        finally:
+            del compute
+            release_memory()
+
+    # the hints choose the iterator form; without determinism no filter on the result runs it twice
+    run.__annotations__ = {"batches": Iterator[pa.Array] if len(inputs) == 1 else Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    call = F.arrow_udf(run, added).asNondeterministic()
+    result = free_name(df, "_added")
+    rows = df.select(*[F.col(f"`{c}`") for c in slim], call(*[F.col(f"`{c}`") for c in inputs]).alias(result))
+    return rows.select(*[F.col(f"`{c}`") for c in slim], *[F.col(f"{result}.`{f.name}`").alias(f.name) for f in added])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers stay alive between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -85,5 +115,8 @@ def emit(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Call
         for args in itertools.chain((b.columns for b in batches if b.num_rows), [()]):
             for got in step(*args):
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in kind], schema=kind)
+                del got
+        del step
+        release_memory()
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, out)

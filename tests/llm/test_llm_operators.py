@@ -75,11 +75,12 @@ def test_language_id_backs_off_to_shorter_grams():
     entries = [("a", 0, "aaa", 5), ("b", 0, "bbb", 5), ("a", 2, "xy", 3), ("b", 1, "z", 4), ("a", 1, "x", 1)]
     model = language_id.assemble(["a", "b"], entries, {("a", n): 10 for n in range(6)} | {("b", n): 10 for n in range(6)})
     assert model.predict("aaa")[0] == "a"  # a known word
-    assert np.allclose(model.unseen("qxyq"), model.table[model.index[2]["xy"]])  # the longest known length decides
+    at, hit = model.rows(2, language_id.item_hashes(["xy"], 2))
+    assert hit.all() and np.allclose(model.unseen("qxyq"), model.tables[2][at[0]])  # the longest known length decides
     assert model.predict("qz qz")[0] == "b"
     assert np.allclose(model.unseen("qq"), 0.0)
-    full = model.scorer(cache=1)  # more unseen words than the cache holds
-    assert full("qz wz ez rz qxyq")[0] == model.predict("qz wz ez rz qxyq")[0]
+    few = model.scorer(memo=1)  # more words than are remembered
+    assert few(["qz wz ez rz qxyq"] * 3) == [model.predict("qz wz ez rz qxyq")] * 3
 
 
 def test_language_id_keeps_as_many_entries_of_each_language(spark):
@@ -89,13 +90,98 @@ def test_language_id_keeps_as_many_entries_of_each_language(spark):
     rows = [(k, text(k, 2000), f"l{k:02d}") for k in range(20)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert len(model.languages) == 20
-    assert all(word(k, i) in model.index[0] for k in range(20) for i in range(2000))
+    assert all(model.knows(0, word(k, i)) for k in range(20) for i in range(2000))
     few = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_entries=600)
     assert len(few.languages) == 20
     # four languages keep what they kept before the entries were halved
     rows = [(k, text(k, 8000), f"l{k:02d}") for k in range(4)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    assert len(model.index[0]) == 32_000
+    assert len(model.keys[0]) == 32_000
+
+
+def brute_language_model(rows, quota):
+    """(known items by length with their log frequencies, languages) of rows of (text, language)."""
+    counts = {}
+    for text, lang in rows:
+        for w in brute_words(text):
+            for n in range(6):
+                for g in [w] if n == 0 else brute_grams(w, n):
+                    counts.setdefault((lang, n), Counter())[g] += 1
+    langs = sorted({lang for _, lang in rows})
+    known = [{} for _ in range(6)]
+    for n in range(6):
+        most = max((sum(counts.get((k, n), {}).values()) for k in langs), default=1)
+        kept = {}
+        for k in langs:
+            c = counts.get((k, n), Counter())
+            steps = Counter(c.values())
+            held, floor = 0, None
+            for v in sorted(steps, reverse=True):
+                held += steps[v]
+                if held > quota and floor is not None:
+                    break
+                floor = v
+            kept[k] = {g: v for g, v in c.items() if v >= floor} if c else {}
+        for g in set().union(*kept.values()):
+            known[n][g] = [math.log(max(kept[k].get(g, 0) / max(1, sum(counts.get((k, n), {}).values())), 0.5 / max(1, most))) for k in langs]
+    return known, langs
+
+
+def brute_words(text):
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
+def brute_grams(word, n):
+    padded = f"_{word}_" if n > 1 else word
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+
+def brute_predict(text, known, langs):
+    ws = brute_words(text or "")
+    if not ws or not langs:
+        return "und", 0.0
+    total = [0.0] * len(langs)
+    for w in ws:
+        rows = [known[0][w]] if w in known[0] else []
+        for n in range(5, 0, -1):
+            rows = rows or [known[n][g] for g in brute_grams(w, n) if g in known[n]]
+        for k in range(len(langs)) if rows else ():
+            total[k] += sum(r[k] for r in rows) / len(rows)
+    best = max(total)
+    return langs[total.index(best)], 1.0 / sum(math.exp((t - best) * min(1.0, 50 / len(ws))) for t in total)
+
+
+def test_language_id_matches_brute_force(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["m²", "a½ b", "hello² x²y", "Ⅷ ²", "1 2 3", "", None, " \t", "été naïve", "a_b-c d'e", "中文 字", "İstanbul ΣΑΣ", "zzq " * 3, "ª º", "x" * 3000, "٣ ४ ๒", "e\u0301 a"]
+    rows = [(r.doc_id, r.text, r.lang) for r in table.collect()]
+    model = language_id.train(table, max_entries=1200)
+    known, langs = brute_language_model([(t, k) for _, t, k in rows if t is not None and k is not None], 200)
+    asked = [t for _, t, _ in rows] + odd
+    got = language_id.identify(spark.createDataFrame(list(enumerate(asked)), "i bigint, text string").repartition(7), model).orderBy("i").collect()
+    assert len(got) == len(asked) >= 1000
+    for r in got:
+        lang, score = brute_predict(r.text, known, langs)
+        assert r.lang_pred == lang or math.isclose(r.score, 1 / len(langs), rel_tol=1e-6) or math.isclose(score, 0.5, rel_tol=1e-6), r.text
+        assert math.isclose(r.score, score, rel_tol=1e-6, abs_tol=1e-9), r.text
+    assert {r.lang_pred for r in got if r.text in ("m²", "hello² x²y", "a½ b")} <= set(langs)
+    assert {(r.lang_pred, r.score) for r in got if r.text in ("Ⅷ ²", "1 2 3", "٣ ४ ๒")} == {("und", 0.0)}
+    # parts, memory and neighbours do not change a text's score
+    long = " ".join(t for t in asked if t)
+    alone = model.predict(long)
+    monkeypatch.setattr(language_id, "CELLS", 1000)
+    assert model.scorer(memo=10)([None, long, "x"])[1] == alone
+    monkeypatch.setattr(language_id, "PART", 700)
+    again = model.scorer()([long, "x" * 3000])
+    assert again[0][0] == alone[0] and math.isclose(again[0][1], alone[1], rel_tol=1e-9)
+    assert math.isclose(again[1][1], brute_predict("x" * 3000, known, langs)[1], rel_tol=1e-6)
+
+
+def test_language_id_ties_go_to_the_first_language(spark):
+    rows = [(1, "same words here", "b"), (2, "same words here", "a")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.identify(table, language_id.train(table)).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("a", 0.5), ("a", 0.5)]
 
 
 def test_language_id_held_out_accuracy(spark):
