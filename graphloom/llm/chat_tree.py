@@ -3,7 +3,9 @@
 Conversations that share initial turns share tree nodes.  A node is a turn in the context of all
 turns before it, named by a digest of them.  Distinct conversations are range-sorted by the path of
 their nodes' digests, which is a depth-first order; each range is then walked once, and a node's
-tokens are written when the walk first comes to it.  The output is blocks of tokens with, for every
+tokens are written when the walk first comes to it.  Every conversation carries the number of turns that it
+shares with the one before it in the whole order, over the edges of ranges too, so a node is new in one
+place only, however the rows are dealt.  The output is blocks of tokens with, for every
 node, its place, its position ids (those of the conversation, not of the block) and the intervals
 of the block that it may attend to: its ancestors and itself.  A block is closed when it is full;
 the next one repeats the ancestors of the node it begins with, marked as repeated, so that each
@@ -23,11 +25,13 @@ block makes a block of that size.  Other columns do not pass through.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ _STUFFED = re.compile(rf"([<\[])\\(\\*)({_TAIL})")
 _TURN = re.compile(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
 OPEN, ROLE_END, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 LEARNT = "assistant"
+#: Characters of a node's name.
+DIGEST = 24
 
 
 def escape(text: str) -> str:
@@ -62,7 +68,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def node_names(turns: list[dict]) -> list[str]:
     """A digest for each turn of all turns up to it."""
-    out, state = [], hashlib.blake2b(digest_size=12)
+    out, state = [], hashlib.blake2b(digest_size=DIGEST // 2)
     for t in turns:
         for part in (t["role"], t["text"]):
             data = part.encode()
@@ -89,6 +95,38 @@ def gather(rows: DataFrame) -> DataFrame:
 NODE = "struct<name: string, leaf: boolean, repeated: boolean, start: bigint, end: bigint, position: bigint, loss_start: bigint, loss_end: bigint, attends: array<struct<start: bigint, end: bigint>>>"
 
 
+def ordered(distinct: DataFrame) -> DataFrame:
+    """Conversations in depth-first order, with ``shared``: the turns they have in common with the one
+    before.  That of a range's first row is found on the driver, from a row per range."""
+
+    def make():
+        last: str | None = None
+
+        def compute(paths: pa.Array):
+            nonlocal last
+            shared = []
+            for path in paths.to_pylist():
+                shared.append(None if last is None else _common(last, path))
+                last = path
+            return [[TaskContext.get().partitionId()] * len(shared), shared]
+
+        return compute
+
+    rows = distinct.repartitionByRange("path").sortWithinPartitions("path")
+    rows = materialize(append_columns(rows, ["path"], "part int, shared int", make), "ordered")
+    ends = sorted(rows.groupBy("part").agg(F.min("path").alias("first"), F.max("path").alias("last")).collect())
+    over = [(r.first[-DIGEST:], _common(q.last, r.first)) for q, r in zip([None, *ends], ends) if q is not None]
+    edges = rows.sparkSession.createDataFrame(over, "leaf string, over int")
+    inner = rows.where("shared is not null").select("turns", "shared")
+    heads = rows.where("shared is null").join(F.broadcast(edges), "leaf", "left")  # a row per range
+    return inner.unionByName(heads.select("turns", F.coalesce("over", F.lit(0)).alias("shared")))
+
+
+def _common(a: str, b: str) -> int:
+    """Turns that two paths share from the first on."""
+    return len(os.path.commonprefix([a, b])) // DIGEST
+
+
 class Block:
     """Tokens and nodes being written.  ``open`` is the path from the root to the last node."""
 
@@ -120,7 +158,7 @@ class Block:
 
 
 def write_blocks(spark_df: DataFrame, path: str, block_tokens: int) -> DataFrame:
-    """Walk sorted distinct conversations; a row per block: ids and nodes."""
+    """Walk distinct conversations in order; a row per block: ids and nodes."""
 
     def make():
         encode = encoding(path).encode_to_numpy
@@ -135,7 +173,7 @@ def write_blocks(spark_df: DataFrame, path: str, block_tokens: int) -> DataFrame
                 if block.nodes:
                     yield block.row()
                 return
-            for turns in columns[0].to_pylist():
+            for turns, known in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True):
                 names = node_names(turns)
                 shared = 0
                 while shared < len(block.open) and shared < len(names) and block.open[shared]["name"] == names[shared]:
@@ -146,13 +184,13 @@ def write_blocks(spark_df: DataFrame, path: str, block_tokens: int) -> DataFrame
                     for name, turn in zip(names[:shared], turns[:shared]):
                         block.add(name, tokens(turn), turn["role"] == LEARNT, True)
                 del block.open[shared:]
-                for name, turn in zip(names[shared:], turns[shared:]):
-                    block.add(name, tokens(turn), turn["role"] == LEARNT, False)
+                for i in range(shared, len(names)):
+                    block.add(names[i], tokens(turns[i]), turns[i]["role"] == LEARNT, i < known)
                 block.open[-1]["leaf"] = True
 
         return step
 
-    return emit(spark_df, ["turns"], f"ids array<int>, nodes array<{NODE}>", make)
+    return emit(spark_df, ["turns", "shared"], f"ids array<int>, nodes array<{NODE}>", make)
 
 
 def positions(node: dict) -> range:
@@ -164,8 +202,7 @@ def tree(rows: DataFrame, path: str | None = None, block_tokens: int = 1 << 16)
     """Blocks of the prefix tree, and the leaf of each conversation (conv_id, leaf)."""
     convs = materialize(gather(rows), "conversations")
     distinct = convs.select("leaf", "path", "turns").dropDuplicates(["leaf"])
-    walked = distinct.repartitionByRange("path").sortWithinPartitions("path")
-    blocks = materialize(write_blocks(walked, path or default_path(), block_tokens), "blocks")
+    blocks = materialize(write_blocks(ordered(distinct), path or default_path(), block_tokens), "blocks")
     return blocks, convs.select("conv_id", "leaf")
 
 
