@@ -111,9 +111,9 @@ def media_digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Digests of the media columns, worked out batch by batch so that no media leave the task.
 
     ``payload_*`` and ``tail_crc32`` are of the bytes read back from the stored form; ``feature``
-    is ``frames:peaks:pairs:crc32`` of the codes and times.
+    is ``frames:peaks:pairs:crc32`` of the codes and times, which are the fingerprint itself.
     """
-    outputs = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    outputs = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codes array<int>, times array<int>"
 
     def one(text: bytes) -> tuple:
         media = store(payload_of(text))
@@ -122,7 +122,7 @@ def media_digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
         codes, times = pairs(found)
         mark = zlib.crc32(times.astype("<i4").tobytes(), zlib.crc32(codes.astype("<i4").tobytes()))
         feature = f"{len(found)}:{int((found >= 0).sum())}:{len(codes)}:{mark:08x}"
-        return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+        return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, codes, times)
 
     def make():
         def compute(column: pa.Array):
