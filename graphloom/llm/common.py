@@ -77,6 +77,11 @@ def append_columns(
     return rows.select(*[F.col(f"`{c}`") for c in slim], *[F.col(f"{result}.`{f.name}`").alias(f.name) for f in added])
 
 
+def apart(columns: list[str]) -> dict[str, str]:
+    """A name for each column that no operator uses for its own columns."""
+    return {c: f"_c{i}" for i, c in enumerate(columns)}
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column has it."""
     taken = {c.lower() for c in df.columns}

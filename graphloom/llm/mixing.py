@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD
+from graphloom.llm.common import WORD, apart, free_name
 from graphloom.storage import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -131,21 +131,25 @@ def mix(
     keep_text: bool = True,
 ) -> DataFrame:
     """Add size, source_size, target and taken (words the mix takes, repeats counted) to each row."""
-    clear = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUTPUTS])
-    narrow = materialize(sizes(clear, text_col, id_col, seed).drop(text_col), "sizes")
-    targets = plan(narrow, source_col, weights, share, epochs)
-    cut = cuts(narrow, targets, source_col)
-    rows = sizes(clear, text_col, id_col, seed) if keep_text else narrow
+    columns = [c for c in docs.columns if c.lower() not in OUTPUTS]
+    name = apart(columns)
+    text, source, own_id = name[text_col], name[source_col], name[id_col]
+    clear = docs.select(*[F.col(f"`{c}`").alias(name[c]) for c in columns])
+    narrow = materialize(sizes(clear, text, own_id, seed).drop(text), "sizes")
+    targets = plan(narrow, source, weights, share, epochs)
+    cut = cuts(narrow, targets, source)
+    rows = sizes(clear, text, own_id, seed) if keep_text else narrow
     # a written row per source, so that the optimizer knows its size and need not shuffle the texts
     ends = materialize(targets.join(cut, F.col("rank") == F.col("_cut_rank"), "left").select("_source", "source_size", "target", "_epochs", "_cut", "_part"), "ends")
-    out = rows.join(ends, F.col(source_col).eqNullSafe(F.col("_source")))
+    out = rows.join(ends, F.col(source).eqNullSafe(F.col("_source")))
     at = F.struct("_key", "_name", "size")
     part = F.when(at < F.col("_cut"), F.col("size")).when(at == F.col("_cut"), F.col("_part")).otherwise(F.lit(0))
     out = out.withColumn("taken", (F.col("size") * F.col("_epochs") + part).cast("bigint"))
-    return out.select(*[F.col(f"`{c}`") for c in clear.columns if keep_text or c != text_col], *OUTPUTS)
+    return out.select(*[F.col(name[c]).alias(c) for c in columns if keep_text or c != text_col], *OUTPUTS)
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row for each time that a document is taken, wholly or in part."""
+    time = free_name(mixed, "_time")
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    return mixed.withColumn("_time", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(times >= F.col("_time")).drop("_time", *OUTPUTS)
+    return mixed.withColumn(time, F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(times >= F.col(time)).drop(time, *OUTPUTS)
