@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import append_columns, texts
+from graphloom.llm.common import append_columns, apart, texts
 from graphloom.storage import materialize
 
 BITS = 18
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # about max_labelled rows
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     many = rows.select("doc_id").count()
-    if many > 2 * max_labelled:  # ids that repeat
+    if many > 2 * max_labelled:  # rows that share an id are all labelled; the bound on labelled rows holds for them too
         rows = rows.where(draw < F.lit(max_labelled / many))
 
     def make():
@@ -178,23 +178,22 @@ def strength(groups: DataFrame, total: str, n: str, mean: float) -> float:
     return float(min(max(within / between - 1, 2.0), 1e4))
 
 
-def combine(scored: DataFrame, host_col: str, path_col: str, max_shift: float) -> DataFrame:
-    """Add ``host_<head>``, ``path_<head>`` (posterior means) and ``p_<head>``."""
-    out = scored
+def combine(scored: DataFrame, max_shift: float) -> DataFrame:
+    """Add ``host_<head>``, ``path_<head>`` (posterior means) and ``p_<head>`` to rows with ``_host``,
+    ``_path`` and the log odds of the text."""
     probs = {h: _p(F.col(f"text_{h}")) for h in HEADS}
-    sums = scored.groupBy(host_col, path_col).agg(F.count("*").alias("n"), *[F.sum(probs[h]).alias(f"sum_{h}") for h in HEADS])
+    sums = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), *[F.sum(probs[h]).alias(f"sum_{h}") for h in HEADS])
     paths = materialize(sums, "paths")
-    hosts = materialize(paths.groupBy(host_col).agg(F.sum("n").alias("n"), *[F.sum(f"sum_{h}").alias(f"sum_{h}") for h in HEADS]), "hosts")
+    hosts = materialize(paths.groupBy("_host").agg(F.sum("n").alias("n"), *[F.sum(f"sum_{h}").alias(f"sum_{h}") for h in HEADS]), "hosts")
     overall = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"sum_{h}").alias(h) for h in HEADS]).first()
     prior = {h: overall[h] / overall["n"] if overall["n"] else 0.5 for h in HEADS}
     k_host = {h: strength(hosts, f"sum_{h}", "n", prior[h]) for h in HEADS}
     k_path = {h: strength(paths, f"sum_{h}", "n", prior[h]) for h in HEADS}
-    sites = paths.withColumnsRenamed({host_col: "_host", path_col: "_path", "n": "_path_n"} | {f"sum_{h}": f"_path_{h}" for h in HEADS}).join(
-        hosts.withColumnsRenamed({host_col: "_h", "n": "_host_n"} | {f"sum_{h}": f"_host_{h}" for h in HEADS}), F.col("_host").eqNullSafe(F.col("_h"))
-    )
+    own = paths.withColumnsRenamed({"_host": "_h", "_path": "_p", "n": "_path_n"} | {f"sum_{h}": f"_path_{h}" for h in HEADS})
+    sites = own.join(hosts.withColumnsRenamed({"n": "_host_n"} | {f"sum_{h}": f"_host_{h}" for h in HEADS}), F.col("_h").eqNullSafe(F.col("_host"))).drop("_host")
     # a written row per path: the optimizer knows its size, broadcasts it below its own limit and splits a hot path otherwise
-    sites = materialize(sites.drop("_h"), "sites")
-    out = out.join(sites, F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path")))
+    sites = materialize(sites, "sites")
+    out = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
     for h in HEADS:
         host = (F.lit(k_host[h] * prior[h]) + F.col(f"_host_{h}") - probs[h]) / (F.lit(k_host[h] - 1) + F.col("_host_n"))
         out = out.withColumn(f"host_{h}", host)
@@ -203,7 +202,10 @@ def combine(scored: DataFrame, host_col: str, path_col: str, max_shift: float) -
         shift = _logit(F.col(f"path_{h}")) - _logit(F.lit(prior[h]))
         shift = F.least(F.greatest(shift, F.lit(-max_shift)), F.lit(max_shift))
         out = out.withColumn(f"p_{h}", _p(F.col(f"text_{h}") + shift))
-    return out.drop("_host", "_path", "_host_n", "_path_n", *[f"_{x}_{h}" for h in HEADS for x in ("host", "path")])
+    return out
+
+
+OUTPUTS = (*(f"text_{h}" for h in HEADS), *(f"{x}_{h}" for h in HEADS for x in ("host", "path", "p")), "kept")
 
 
 def classify(
@@ -220,16 +222,18 @@ def classify(
 ) -> DataFrame:
     """Add evidence, site posteriors, probabilities and ``kept`` (good and not toxic) to each row.
 
-    ``keep`` names the columns that pass through (default: all)."""
+    A host and a path of it may be any columns; ``documents`` has no addresses, so there the source stands
+    for the host and the language for the path.  ``keep`` names the columns that pass through (default: all)."""
     if model is None:
         model = train(docs, labels, text_col, id_col, max_labelled)
-    scored = evidence(docs, model, text_col)
-    own = [f"text_{h}" for h in HEADS]
-    scored = materialize(scored.select(*[c for c in keep or docs.columns if c.lower() not in own], *own), "evidence")
-    out = combine(scored, host_col, path_col, max_shift)
+    columns = [c for c in keep or docs.columns if c.lower() not in OUTPUTS]
+    name = apart(list(dict.fromkeys([*columns, text_col])))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in name.items()], F.col(f"`{host_col}`").alias("_host"), F.col(f"`{path_col}`").alias("_path"))
+    scored = evidence(rows, model, name[text_col]).select(*[name[c] for c in columns], "_host", "_path", *[f"text_{h}" for h in HEADS])
+    out = combine(materialize(scored, "evidence"), max_shift)
     bad = F.lit(False)
     if model.weights["quality"] is not None:
         bad = bad | (F.col("p_quality") < 0.5)
     if model.weights["toxic"] is not None:
         bad = bad | (F.col("p_toxic") >= 0.5)
-    return out.withColumn("kept", ~bad)
+    return out.select(*[F.col(name[c]).alias(c) for c in columns], *OUTPUTS[:-1], (~bad).alias("kept"))
