@@ -21,7 +21,7 @@ one unknown word.  Discounts D1, D2, D3+ of either level come from the counts of
 
 Defined results: a null text is an empty one, whose only token is its end.  Equal texts score
 equally.  Rows with a null or equal id are texts of their own.  Texts of any length are scored
-whole, in slices.  Without training rows every token has probability 1 (a vocabulary of the
+whole, in slices cut at white space.  Without training rows every token has probability 1 (a vocabulary of the
 unknown word alone).  An empty table gives an empty result.  Existing columns of the same name are
 replaced; others pass through.
 
@@ -53,6 +53,9 @@ FLUSH_TOKENS = 1_500_000
 #: Bytes of text that are cut into words at a time.
 SLICE_BYTES = 3_000_000
 _LOW = np.uint64(0xFFF)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
+#: Memory-mapped files that a worker keeps open.
+OPEN_FILES = 400
 
 
 class Hashes(dict):
@@ -65,37 +68,76 @@ class Hashes(dict):
         return h
 
 
-def stream(batch: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text followed by its end, and tokens per text."""
+def pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes, cut at white space."""
+    at = 0
+    while len(text) - at > size and (gap := _SPACE.search(text, at + size)):
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:]
+
+
+@dataclass
+class Slice:
+    """Hashes of tokens in a row and of the token before each.  ``first`` is where each text, or its rest, begins
+    and ``text`` its number in the batch."""
+
+    tokens: np.ndarray
+    before: np.ndarray
+    first: np.ndarray
+    text: np.ndarray
+
+
+def stream(batch: Iterable[bytes], hashes: Hashes, size: int = SLICE_BYTES) -> Iterator[Slice]:
+    """All tokens of a batch, each text followed by its end, in slices of about ``size`` bytes; a longer text has
+    several."""
+    begin = xxhash.xxh3_64_intdigest(BEGIN)
     flat: list[bytes] = []
-    sizes = []
-    for text in batch:
-        words = text.lower().split()
-        sizes.append(len(words) + 1)
-        flat += words
+    first: list[int] = []
+    numbers: list[int] = []
+    held, before = 0, begin  # the last token, or the begin mark after an end
+
+    def take() -> Slice:
+        nonlocal before, held
+        tokens = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+        at = np.array(first)
+        prior = np.empty_like(tokens)
+        prior[1:] = tokens[:-1]
+        prior[at] = begin
+        prior[0] = before
+        before = begin if flat[-1] is END else int(tokens[-1])
+        out = Slice(tokens, prior, at, np.array(numbers))
+        flat.clear(), first.clear(), numbers.clear()
+        held = 0
+        return out
+
+    for i, text in enumerate(batch):
+        if len(text) <= size:
+            if flat and held + len(text) > size:
+                yield take()
+            first.append(len(flat))
+            numbers.append(i)
+            flat += text.lower().split()
+            flat.append(END)
+            held += len(text)
+            continue
+        # slices of its own, so that equal texts are summed in equal parts
+        if flat:
+            yield take()
+        for piece in pieces(text, size):
+            if words := piece.lower().split():
+                if flat:
+                    yield take()
+                first.append(0)
+                numbers.append(i)
+                flat += words
+        if not flat:
+            first.append(0)
+            numbers.append(i)
         flat.append(END)
-    return np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat)), np.array(sizes, np.int64)
-
-
-def cut(batch: Iterable[bytes], size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
-    """Parts of a batch with about ``size`` bytes each, or one text that is longer."""
-    part, held = [], 0
-    for text in batch:
-        if part and held + len(text) > size:
-            yield part
-            part, held = [], 0
-        part.append(text)
-        held += len(text)
-    if part:
-        yield part
-
-
-def before(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The token before each, the begin mark at the start of a text."""
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[np.cumsum(sizes) - sizes] = xxhash.xxh3_64_intdigest(BEGIN)
-    return out
+        yield take()
+    if flat:
+        yield take()
 
 
 def gram_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -195,12 +237,17 @@ class LanguageModel:
         return self.__dict__ | {"_open": {}}
 
     def array(self, kind: str, shard: int) -> np.ndarray | None:
-        """A memory-mapped array; None if the shard has none or an empty one."""
-        if (kind, shard) not in self._open:
-            path = f"{self.folder}/{kind}/{shard}.npy"
-            found = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-            self._open[kind, shard] = found if found is not None and len(found) else None
-        return self._open[kind, shard]
+        """A memory-mapped array; None if the shard has none or an empty one.  The least recently used ones are closed."""
+        key = (kind, shard)
+        if key in self._open:
+            self._open[key] = found = self._open.pop(key)  # now the last
+            return found
+        path = f"{self.folder}/{kind}/{shard}.npy"
+        found = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        self._open[key] = found = found if found is not None and len(found) else None
+        while len(self._open) > OPEN_FILES:
+            del self._open[next(iter(self._open))]
+        return found
 
     def find(self, kind: str, values: str, keys: np.ndarray, width: int, out: np.ndarray) -> np.ndarray:
         """Values of sorted keys; what is not there stays as ``out`` has it."""
@@ -240,17 +287,20 @@ class LanguageModel:
             return np.full(len(cont), uniform)
         return np.maximum(cont - self.d0[np.minimum(cont, 3)], 0) / self.bigrams + self.free * uniform
 
-    def token_scores(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By token: whether it is known, log10 of the base probability and of the model's."""
-        words, at = np.unique(tokens, return_inverse=True)
+    def token_scores(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By token: whether it is known, log10 of the base probability and of the model's after the token before."""
+        words, at = np.unique(part.tokens, return_inverse=True)
         count = self.find("vocab", "vocab_n", words, 64, np.zeros(len(words), np.int64))
         base = np.log10((count + 1) / (self.tokens + self.types + 1))
         short = words >> np.uint64(16)
         lower = self.unigram(self.find("cont", "cont_n", short, 48, np.zeros(len(words), np.int64)))
-        begin = np.uint64(xxhash.xxh3_64_intdigest(BEGIN) >> 16)
-        stats = np.zeros((len(words) + 1, 4), np.int64)
-        self.find("ctx", "ctx_n", short, 48, stats[:-1])
-        contexts = np.append(short, begin)
+        # contexts: the words of the slice, the begin mark, and what stands before the slice
+        size = len(words)
+        begin = xxhash.xxh3_64_intdigest(BEGIN)
+        contexts = np.append(short, np.array([begin, part.before[0]], np.uint64) >> np.uint64(16))
+        stats = np.zeros((size + 2, 4), np.int64)
+        self.find("ctx", "ctx_n", short, 48, stats[:size])
+        self.find("ctx", "ctx_n", contexts[size + 1 :], 48, stats[size + 1 :])
         if len(self.hot):
             place = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
             hit = self.hot[place] == contexts
@@ -258,9 +308,10 @@ class LanguageModel:
         free = stats[:, 1:] @ self.d[1:]
         prior = np.empty_like(at)
         prior[1:] = at[:-1]
-        prior[np.cumsum(sizes) - sizes] = len(words)
-        pair, back = np.unique(prior * (len(words) + 1) + at, return_inverse=True)
-        h, w = pair // (len(words) + 1), pair % (len(words) + 1)
+        prior[part.first] = size
+        prior[0] = size + int(part.before[0] != begin)
+        pair, back = np.unique(prior * size + at, return_inverse=True)
+        h, w = pair // size, pair % size
         c = self.gram_counts(contexts[h], short[w])
         total = stats[h, 0]
         p = np.where(total > 0, (np.maximum(c - self.d[np.minimum(c, 3)], 0) + free[h] * lower[w]) / np.maximum(total, 1), lower[w])
@@ -278,8 +329,8 @@ def _count_vocab(bits: int):
             return {"shard": [s for s, _ in parts], "block": [pack([words[p], n[p]], [8, 4]) for _, p in parts]}
 
         def step(*columns) -> Iterator[dict]:
-            for part in cut(texts(columns[0])) if columns else ():
-                held.append(stream(part, hashes)[0])
+            for part in stream(texts(columns[0]), hashes) if columns else ():
+                held.append(part.tokens)
                 if sum(map(len, held)) >= FLUSH_TOKENS:
                     yield drain()
             if held and not columns:
@@ -312,9 +363,8 @@ def _count_grams(bits: int, hot: np.ndarray):
                 yield {"shard": [s for s, _ in parts], "block": [pack([a[p], b[p], c[p]], [6, 6, 4]) for _, p in parts]}
 
         def step(*columns) -> Iterator[dict]:
-            for part in cut(texts(columns[0])) if columns else ():
-                tokens, sizes = stream(part, hashes)
-                held.append((before(tokens, sizes), tokens))
+            for part in stream(texts(columns[0]), hashes) if columns else ():
+                held.append((part.before, part.tokens))
                 if sum(len(x[1]) for x in held) >= FLUSH_TOKENS:
                     yield from drain()
             if held and not columns:
@@ -419,13 +469,14 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
         hashes = Hashes()
 
         def compute(column: pa.Array):
-            out = []
-            for part in cut(texts(column)):
-                tokens, sizes = stream(part, hashes)
-                known, base, mine = shared.value.token_scores(tokens, sizes)
-                at = np.cumsum(sizes) - sizes
-                out.append((sizes, np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(mine, at)))
-            return [np.concatenate(x) for x in zip(*out)]
+            counts, sums = np.zeros((2, len(column)), np.int64), np.zeros((2, len(column)))
+            for part in stream(texts(column), hashes):
+                known, base, mine = shared.value.token_scores(part)
+                counts[0, part.text] += np.diff(part.first, append=len(part.tokens))
+                counts[1, part.text] += np.add.reduceat(known.astype(np.int64), part.first)
+                sums[0, part.text] += np.add.reduceat(base, part.first)
+                sums[1, part.text] += np.add.reduceat(mine, part.first)
+            return [*counts, *sums]
 
         return compute
 
