@@ -16,10 +16,12 @@ are replaced; others pass through ``rate`` but not the thin query.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,54 @@ RATES = {
     "repeats": ("1000 * n_repeat_words div n_words", False, 100),
 }
 _P = 5
+#: Bytes above which a text is measured in parts.
+LONG = 1_000_000
+_GAP, _NOT_GAP = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]")
+
+
+def repeated_words(words: np.ndarray) -> int:
+    """Words in windows of three that occur twice or more, from the words' hashes."""
+    if len(words) < 3:
+        return 0
+    window = np.zeros(len(words) - 2, np.uint64)
+    for i in range(3):
+        window = (window + words[i : len(words) - 2 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        window ^= window >> np.uint64(29)
+    order = np.argsort(window, kind="stable")
+    same = window[order[1:]] == window[order[:-1]]
+    covered = np.zeros(len(words), bool)
+    for at in (order[1:][same], order[:-1][same]):
+        for d in range(3):
+            covered[at + d] = True
+    return int(covered.sum())
+
+
+def measure_long(text: bytes) -> tuple[int, int, int, int, int, int]:
+    """``measure`` in memory of some times the text: words and lines are held as 64-bit hashes, a part of the text
+    at a time."""
+    hashes, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, min(at + LONG, len(text)))
+        end = gap.start() if gap else len(text)
+        words = text[at:end].split()
+        hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        at = end + 1
+    words = np.concatenate(hashes)
+    lines, at = [], 0
+    while at <= len(text) and len(words):
+        end = text.find(b"\n", at)
+        end = len(text) if end < 0 else end
+        if _NOT_GAP.search(text, at, end):
+            lines.append(xxhash.xxh3_64_intdigest(text[at:end]))
+        at = end + 1
+    lines = np.array(lines, np.uint64)
+    chars, symbols = len(text.translate(None, _DROP)), len(text.translate(None, _NO_SYMBOL))
+    return len(words), chars, symbols, len(lines) - len(np.unique(lines)), repeated_words(words), len(lines)
 
 
 def measure(text: bytes) -> tuple[int, int, int, int, int, int]:
+    if len(text) > LONG:
+        return measure_long(text)
     words = text.split()
     n = len(words)
     chars = len(text.translate(None, _DROP))
