@@ -29,6 +29,7 @@ from graphloom.llm.common import append_columns, texts
 
 #: Everything that is no word character becomes a space, A-Z become a-z.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_GAPS = re.compile(rb"  +")
 
 #: Rules in order of text: label | priority (1 best) | keywords | pattern over lower-case words.
 #: Keywords say which words to look for first; those that a match can do without are not needed.
@@ -402,8 +403,7 @@ class Scanner:
 
     def scan(self, text: bytes) -> tuple[int, list[Detection]]:
         """Number of words, and all detections in order of place and rule."""
-        words = text.translate(_WORDS).split()
-        line = b" " + b" ".join(words) + b" "
+        line = b" " + _GAPS.sub(b" ", text.translate(_WORDS)).strip() + b" "
         out = []
         for r in self.candidates(line):
             rule, at, place = self.rules[r], 0, 0
@@ -411,7 +411,7 @@ class Scanner:
                 place += line.count(b" ", at, m.start())
                 at = m.start()
                 out.append(Detection(r, rule.label, rule.priority, place - 1, place - 1 + m[0].strip().count(b" ")))
-        return len(words), sorted(out, key=lambda d: (d.first, d.rule, d.last))
+        return line.count(b" ") - 1 if len(line) > 2 else 0, sorted(out, key=lambda d: (d.first, d.rule, d.last))
 
 
 @cache
