@@ -14,12 +14,14 @@ empty result; other columns do not pass through.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, text_col: str, id_col: str, path: str, capacity: int) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32."""
+    """A row per piece: doc_id, piece, start, length, ids_crc32, and a number of its own (salt)."""
 
     def make():
         encode = encoding(path).encode_to_numpy
+        salt = itertools.count(TaskContext.get().partitionId() << 33)
 
         def step(*columns):
             if not columns:
@@ -52,13 +55,13 @@ def pieces(docs: DataFrame, text_col: str, id_col: str, path: str, capacity: int
             for doc, text in zip(columns[0].to_pylist(), strings(columns[1]), strict=True):
                 ids = np.append(encode(text or "", disallowed_special=()), END).astype("<u4")
                 for i, (start, n) in enumerate(cut(len(ids), capacity)):
-                    rows.append((doc, i, start, n, zlib.crc32(ids[start : start + n].tobytes())))
-            yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows), strict=True))
+                    rows.append((doc, i, start, n, zlib.crc32(ids[start : start + n].tobytes()), next(salt)))
+            yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "salt"), zip(*rows), strict=True))
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return emit(docs, [id_col, text_col], f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint", make)
+    return emit(docs, [id_col, text_col], f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint", make)
 
 
 @dataclass
@@ -129,14 +132,15 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
 
 def ranks(cut_up: DataFrame) -> DataFrame:
     """Add ``rank`` from 0 within the length.  A length of n pieces is dealt over about sqrt(n)
-    hash ranges; ranks within the ranges and prefix sums of their counts make the rank."""
+    hash ranges; ranks within the ranges and prefix sums of their counts make the rank.  The hash is of the
+    piece's own number in the written table, so that equal rows spread too."""
     counts = cut_up.groupBy("length").agg(F.ceil(F.sqrt(F.count("*"))).alias("_ranges"))
-    key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(1 << 31))
+    key = F.pmod(F.xxhash64("salt"), F.lit(1 << 31))
     dealt = cut_up.withColumn("_key", key).join(F.broadcast(counts), "length")  # at most a row per length up to the capacity
     dealt = dealt.withColumn("_range", F.shiftright(F.col("_key") * F.col("_ranges"), 31)).drop("_ranges")
     sums = dealt.groupBy("length", "_range").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("length").orderBy("_range")) - F.col("n")
-    inner = F.row_number().over(Window.partitionBy("length", "_range").orderBy("_key", "doc_id", "piece", "ids_crc32"))
+    inner = F.row_number().over(Window.partitionBy("length", "_range").orderBy("_key", "salt"))
     return (
         dealt.withColumn("_inner", inner)
         .join(sums.select("length", "_range", upto.alias("_before")), ["length", "_range"])
