@@ -404,22 +404,26 @@ def test_chat_tree_reads_back(spark):
 
 
 def test_chat_tree_shares_tokens_and_masks_ancestors(spark):
-    table = spark.createDataFrame(conversations(), "conv_id bigint, turn bigint, role string, text string")
-    blocks, members = chat_tree.tree(table.coalesce(1), block_tokens=60)
+    more = [(1000 + c, t, r, x) for c in range(400) for t, r, x in ((0, "user", "hi"), (1, "assistant", "same"), (2, "user", f"own {c}"))]
+    table = spark.createDataFrame(conversations() + more, "conv_id bigint, turn bigint, role string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # many ranges
+    try:
+        blocks, members = chat_tree.tree(table, block_tokens=60)
+        assert blocks.count() and members.count() > 400
+        rows, leaves = blocks.collect(), members.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
     nodes, written = [], Counter()
-    for b in blocks.collect():
+    for b in rows:
         assert b.nodes[-1].end == len(b.ids)
-        by_end = {}
         for n in b.nodes:
             before = sum(a.end - a.start for a in n.attends) - (n.end - n.start)
             assert n.position == before  # positions are the conversation's
             assert n.attends[-1].end == n.end and all(x.end < y.start for x, y in zip(n.attends, n.attends[1:]))
-            by_end[n.end] = n
-            if not n.repeated:
-                written[n.name] += 1
+            written[n.name] += not n.repeated
         nodes += b.nodes
-    assert set(written.values()) == {1}  # every node once, but for repeats at the head of a block
-    assert {n.name for n in nodes if n.leaf} == {r.leaf for r in members.collect()}
+    assert set(written.values()) == {1}  # every node new once, over blocks and ranges
+    assert Counter(n.name for n in nodes if n.leaf) == Counter({r.leaf for r in leaves})
 
 
 # ---------------------------------------------------------------- mixing
@@ -550,6 +554,67 @@ def test_classifier_learns_and_shrinks(spark, docs, labels, empty):
     assert none.where("kept").count() == docs.count()
 
 
+def brute_posteriors(rows, max_shift):
+    """p_quality and p_toxic of rows (host, path, log odds of quality, of toxicity), by the formulas."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = [[] for _ in rows]
+    for k in (2, 3):
+        prob = [sigmoid(r[k]) for r in rows]
+        prior = sum(prob) / len(prob)
+
+        def moments(keys):
+            sums, sizes = {}, Counter(keys)
+            for key, p in zip(keys, prob):
+                sums[key] = sums.get(key, 0) + p
+            spread = sum(sizes[g] * (sums[g] / sizes[g] - prior) ** 2 for g in sizes)
+            if len(sizes) < 2:
+                return sums, sizes, 1e4
+            within = prior * (1 - prior)
+            between = max(spread / len(rows) - within * len(sizes) / len(rows), 1e-9)
+            return sums, sizes, min(max(within / between - 1, 2.0), 1e4)
+
+        host_sums, host_sizes, host_k = moments([r[0] for r in rows])
+        path_sums, path_sizes, path_k = moments([r[:2] for r in rows])
+        for i, r in enumerate(rows):  # the row itself is left out
+            host = (host_k * prior + host_sums[r[0]] - prob[i]) / (host_k + host_sizes[r[0]] - 1)
+            path = (path_k * host + path_sums[r[:2]] - prob[i]) / (path_k + path_sizes[r[:2]] - 1)
+            shift = min(max(logit(path) - logit(prior), -max_shift), max_shift)
+            out[i] += [host, path, sigmoid(r[k] + shift)]
+    return out
+
+
+def test_posteriors_match_brute_force(spark):
+    r = random.Random(11)
+    rows = [(r.choice(["a.org", "b.org", "c.org", None]), r.choice(["/x", "/y", None, "/z"]), r.gauss(1, 2), r.gauss(-2, 2)) for _ in range(500)]
+    rows += [("one.org", "/only", 3.0, -1.0)] + [("spam.org", f"/{i % 3}", -2 + r.random(), 1.0) for i in range(200)]
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, _host string, _path string, text_quality double, text_toxic double").repartition(5)
+    got = sorted(quality_classifier.combine(table, 1.0).collect(), key=lambda x: x.i)
+    assert len(got) == len(rows)
+    for x, want in zip(got, brute_posteriors(rows, 1.0)):
+        assert np.allclose([x.host_quality, x.path_quality, x.p_quality, x.host_toxic, x.path_toxic, x.p_toxic], want, rtol=1e-9)
+
+
+def test_classifier_takes_any_host_and_path(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.expr("parse_url(url, 'HOST')").alias("site"), F.expr("parse_url(url, 'PATH')").alias("place"))
+    lab = rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    got = quality_classifier.classify(rows, lab, host_col="site", path_col="place").collect()
+    assert len(got) == pages.count()
+    model = quality_classifier.train(rows, lab)
+    want = brute_posteriors([(x.site, x.place, *model.log_odds(quality_classifier.features((x.text or "").encode()))) for x in got], 1.0)
+    for x, w in zip(got, want):
+        assert np.allclose([x.host_quality, x.path_quality, x.p_quality], w[:3], rtol=1e-6)
+        assert x.kept == (x.p_quality >= 0.5)
+
+
+def test_classifier_ties_and_repeated_rows(spark):
+    rows = [(1, "good words here", "h", "p")] * 3 + [(2, "bad words here", "h", "p")] * 3
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    got = quality_classifier.classify(table, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")).collect()
+    assert len(got) == 6 and len({(r.doc_id, r.p_quality, r.kept) for r in got}) == 2
+
+
 def test_cutoff_makes_fewest_errors():
     z, y = np.array([-3.0, -1, 0, 1, 2]), np.array([0, 0, 1, 1, 1])
     assert -1 < quality_classifier.cutoff(z, y) < 0
@@ -636,6 +701,47 @@ def test_media_round_trip_and_digests(docs, empty):
     assert media.media_digests(empty).count() == 0
 
 
+def brute_fingerprint(samples):
+    """Codes and times by sums of cosines, frame by frame and pair by pair."""
+    x = np.frombuffer(samples, np.uint8).astype(float) - 128
+    t = np.arange(576)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * t / 575)
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(289), t) / 576)
+    found = []
+    for at in range(0, len(x) - 575, 288):
+        power = np.abs(basis @ (x[at : at + 576] * window))
+        row = []
+        for lo, hi in zip(media.BANDS, media.BANDS[1:]):
+            top = lo + int(power[lo:hi].argmax())
+            row.append(top if power[top] > power[2:].mean() else -1)
+        found.append(row)
+    out = []
+    for i, row in enumerate(found):
+        for d in range(1, media.REACH + 1):
+            if i + d < len(found):
+                out += [(i, (a << 11) | (b << 2) | d) for a in row if a >= 0 for b in found[i + d] if b >= 0]
+    return sorted(out)
+
+
+def test_media_arrays_match_brute_force(spark, docs):
+    table = docs.where("doc_id is null or doc_id <> 6").select("doc_id", "text")
+    table = table.union(spark.createDataFrame([(1000 + i, words(400, i)) for i in range(8)], table.schema))
+    rows = media.media_digests(table).collect()
+    full = {(r.doc_id, r.text): r for r in media.media_columns(table).collect()}
+    checked = 0
+    for r in rows:
+        payload = media.payload_of((r.text or "").encode())
+        want = brute_fingerprint(payload)
+        assert list(zip(r.times, r.codes)) == want
+        frames, high, pairs, mark = r.feature.split(":")
+        assert int(frames) == (len(payload) - 576) // 288 + 1 and int(pairs) == len(want)
+        m = full[r.doc_id, r.text]
+        assert (list(m.codes), list(m.times), m.n_peaks) == (list(r.codes), list(r.times), int(high))
+        assert media.read_back(bytes(m.media)) == payload
+        checked += len(want)
+    assert checked > 500
+
+
 def test_fingerprint_finds_a_tone():
     t = np.arange(576 * 10)
     tone = (128 + 100 * np.sin(2 * np.pi * 50 * t / 576)).astype(np.uint8).tobytes()
@@ -643,4 +749,73 @@ def test_fingerprint_finds_a_tone():
     assert (found[:, 2] == 50).all()
     codes, times = media.pairs(found)
     assert len(codes) == len(times) and (np.diff(times) >= 0).all()
-    assert media.media_columns is not None and media.fingerprint(media.store(tone))[2] == int((found >= 0).sum())
+    assert media.fingerprint(media.store(tone))[2] == int((found >= 0).sum())
+
+
+# ---------------------------------------------------------------- all operators
+
+
+CLASHES = ["_added", "_key", "_name", "_part", "_cut", "_epochs", "_source", "_s", "_range", "_at", "_stay_id", "_stay_at", "_host", "_path", "_h", "_p", "_host_n", "_time", "_c0", "part", "rank", "weight"]
+
+
+def test_operators_keep_columns_with_clashing_names(spark, labels):
+    rows = [(i, words(30, i), "en", f"s{i % 3}") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumns({c: F.col("doc_id") * 7 for c in CLASHES})
+    out = {
+        "language": language_id.identify(table, language_id.train(table)),
+        "license": license_scan.license_labels(table),
+        "scan": license_scan.scan_licenses(table),
+        "lm": lm.score(table, lm.train(table)),
+        "measures": quality_rules.measures(table),
+        "mix": mixing.mix(table),
+        "repeat": mixing.repeat(mixing.mix(table)),
+        "classifier": quality_classifier.classify(table, labels),
+        "join": jaccard_join.first_of_each(table),
+        "media": media.media_digests(table),
+    }
+    for name, df in out.items():
+        got = df.collect()
+        assert {r.doc_id for r in got} <= set(range(60)) and got, name
+        assert all(r[c] == r.doc_id * 7 for r in got for c in CLASHES), name
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    long = "\n".join(f"line {i % 40} of w{i % 977} x{i} mit license" for i in range(40_000))
+    monkeypatch.setattr(quality_rules, "LONG", 10_000)
+    assert quality_rules.measure(long.encode()) == brute_measure(long)
+    assert quality_rules.measure(b" " * 20_000) == brute_measure(" " * 20_000)
+    assert quality_rules.measure(("a b c " * 4000).encode()) == brute_measure("a b c " * 4000)
+    assert license_scan.default_scanner().scan(long.encode())[0] == len(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", long.encode()))
+    table = spark.createDataFrame([(1, long), (2, "short text"), (3, long), (4, None), (5, " " * 5000), (6, "x" * 5000 + " y")], "doc_id int, text string").coalesce(1)
+    model = lm.train(table)
+    whole = {r.doc_id: r for r in lm.score(table, model).collect()}
+    (want,) = [brute_lm([r.text for r in table.collect()], [long])[0]]
+    for i in (1, 3):
+        assert (whole[i].n_tokens, whole[i].n_known) == want[0][:2]
+        assert math.isclose(whole[i].base_score, want[0][2], rel_tol=1e-9) and math.isclose(whole[i].score, want[0][3], rel_tol=1e-9)
+    assert whole[1].score == whole[3].score
+    hashes = lm.Hashes()
+    texts = [(r.text or "").encode() for r in table.collect()]
+    parts = list(lm.stream(texts, hashes, 1000))
+    assert len(parts) > 100 and max(len(p.tokens) for p in parts) < 1000
+    one = list(lm.stream(texts, hashes, 1 << 30))
+    assert len(one) == 1 and (np.concatenate([p.tokens for p in parts]) == one[0].tokens).all() and (np.concatenate([p.before for p in parts]) == one[0].before).all()
+    got = sum(model.token_scores(p)[2].sum() for p in parts)
+    assert math.isclose(got, sum(r.score for r in whole.values()), rel_tol=1e-9)
+
+
+def test_many_equal_rows(spark):
+    table = spark.range(30_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("the same text of a few words").alias("text"), F.lit("a").alias("source"), F.lit("en").alias("lang"))
+    placed = packing.pack(table)
+    assert placed.count() == 30_000 and placed.select("sequence_id", "offset").distinct().count() == 30_000
+    assert jaccard_join.jaccard_join(table).select("n_links").distinct().collect()[0][0] == 29_999
+    assert mixing.mix(table).agg(F.sum("taken")).first()[0] <= 1.5 * 7 * 30_000
+
+
+def test_lm_keeps_few_files_open(docs, monkeypatch):
+    model = lm.train(docs, shard_tokens=500)
+    want = {(r.doc_id, r.text): r.score for r in lm.score(docs, model).collect()}
+    monkeypatch.setattr(lm, "OPEN_FILES", 3)
+    part, = lm.stream([(r.text or "").encode() for r in docs.collect()], lm.Hashes(), 1 << 30)
+    assert math.isclose(model.token_scores(part)[2].sum(), sum(want[r.doc_id, r.text] for r in docs.collect()), rel_tol=1e-9)
+    assert len(model._open) <= 3
