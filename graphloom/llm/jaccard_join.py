@@ -10,8 +10,8 @@ there into candidate groups (connected components, never all pairs).
 The matched prefix starts at the whole signature.  All candidate groups are verified, and the recall
 is estimated from the similarities found: a pair of similarity s shares a node of depth d in one of
 the tries with probability 1 - (1 - s^d)^tries, so each verified pair stands for the inverse of that
-many.  While the mean over the groups is below the target, prefixes are shortened by one value and the
-groups that grew are verified again.  A few pairs at the very threshold count beside those found, so
+many.  While the mean over the groups is below the target, prefixes are shortened to the first depth at which
+these pairs promise the target, and the groups that grew are verified again.  A few pairs at the very threshold count beside those found, so
 that little evidence shortens further; at the depth where pairs at the threshold reach the target it ends.
 
 Verification is exact, on 64-bit hashes of the n-grams of the whole texts: pairs of a group are counted by
@@ -322,10 +322,12 @@ def dealt(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     the threshold's inverse meet."""
     step = math.log(threshold[1] / threshold[0])
     binned = members.withColumn("bin", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("bigint"))
-    # a row per group and size
-    sizes = materialize(binned.groupBy("grp", "bin").agg(F.ceil(F.count("*") / F.greatest(F.lit(64.0), F.lit(3.0) * F.sqrt(F.count("*")))).cast("bigint").alias("blocks")), "blocks")
-    side = lambda d, name: sizes.select("grp", (F.col("bin") - d).alias("bin"), F.col("blocks").alias(name))
-    around = sizes.join(side(-1, "below"), ["grp", "bin"], "left").join(side(1, "above"), ["grp", "bin"], "left").na.fill(0, ["below", "above"])
+    # a row per group and size, with the blocks of the sizes next to it
+    blocks = F.ceil(F.count("*") / F.greatest(F.lit(64.0), F.lit(3.0) * F.sqrt(F.count("*")))).cast("bigint")
+    sizes = binned.groupBy("grp", "bin").agg(blocks.alias("n"))
+    near = F.explode(F.array(*[F.struct((F.col("bin") + d).alias("bin"), *[F.when(F.lit(d == e), F.col("n")).alias(c) for e, c in ((0, "blocks"), (1, "below"), (-1, "above"))]) for d in (-1, 0, 1)])).alias("s")
+    around = sizes.select("grp", near).select("grp", "s.*").groupBy("grp", "bin").agg(*[F.sum(c).alias(c) for c in ("blocks", "below", "above")])
+    around = around.where("blocks is not null").na.fill(0, ["below", "above"])
     rows = binned.join(materialize(around, "around"), ["grp", "bin"])
     number = lambda b, i: b * F.lit(1 << 32) + i
     rows = rows.withColumn("block", number(F.col("bin"), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks"))))
@@ -346,12 +348,12 @@ def texts_of(docs: DataFrame, members: DataFrame, text_col: str, id_col: str) ->
     return body.join(wanted, (F.col("place") == F.col("_place")) & F.col("rep").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["place", "rep"]).select("place", "text")
 
 
-def estimated_recall(checked: DataFrame, place: int, at_threshold: float, doubt: int) -> float:
-    """Mean of the groups' shares of links that are found at the depth whose weights stand at ``place``, with
-    ``doubt`` groups at the threshold."""
-    groups = checked.groupBy("grp").agg(F.sum("links").alias("links"), F.sum(F.col("weights")[place]).alias("weight")).where("links > 0")
-    got = groups.agg(F.sum(F.col("links") / F.col("weight")).alias("found"), F.count("*").alias("groups")).first()
-    return ((got.found or 0.0) + doubt * at_threshold) / (got.groups + doubt)
+def estimated_recall(checked: DataFrame, at_threshold: list[float], doubt: int) -> list[float]:
+    """By depth: mean of the groups' shares of links that are found there, with ``doubt`` groups at the threshold."""
+    each = range(len(at_threshold))
+    groups = checked.groupBy("grp").agg(F.sum("links").alias("links"), *[F.sum(F.col("weights")[k]).alias(f"w{k}") for k in each]).where("links > 0")
+    got = groups.agg(F.count("*").alias("groups"), *[F.sum(F.col("links") / F.col(f"w{k}")).alias(f"found{k}") for k in each]).first()
+    return [((got[f"found{k}"] or 0.0) + doubt * at_threshold[k]) / (got.groups + doubt) for k in each]
 
 
 def similar_groups(
@@ -378,15 +380,18 @@ def similar_groups(
     least = matched_depth(similarity, trees, depth, recall)
     links = materialize(trie_links(classes, forest, least), "trie")
     depths = list(range(depth, least - 1, -1))
+    sure = [expected_recall(similarity, d, trees) for d in depths]
     groups = checked = known = None
-    for place, matched in enumerate(depths):
-        edges = links.where(F.col("depth") == matched).select("src", "dst")
+    place, above = 0, depth + 1
+    while True:
+        matched = depths[place]
+        edges = links.where((F.col("depth") >= matched) & (F.col("depth") < above)).select("src", "dst")
         if groups is not None:  # what was joined stays joined
             edges = edges.union(groups.select(F.col("cls").alias("src"), F.col("grp").alias("dst")))
         groups = materialize(connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp")), "groups")
         sizes = materialize(groups.groupBy("grp").agg(F.count("*").alias("m")), "sizes")
         grown = sizes if known is None else sizes.join(known, ["grp", "m"], "left_anti")  # groups only merge
-        grown, known = materialize(grown.select("grp"), "grown"), sizes
+        grown, known, above = materialize(grown.select("grp"), "grown"), sizes, matched
         if checked is None or not grown.isEmpty():
             # written tables on both sides, so that a hot group's rows can be split
             members = materialize(groups.join(grown, "grp").join(classes.select("cls", "docs", "place", "rep_id", "size"), "cls"), "members")
@@ -396,8 +401,11 @@ def similar_groups(
             if checked is not None:
                 now = now.union(checked.join(members.select("cls"), "cls", "left_anti").select(*now.columns))
             checked = materialize(now, "links")
-        if estimated_recall(checked, place, expected_recall(similarity, matched, trees), doubt) >= recall:
+        # the first depth that promises the target, by the similarities seen so far; the last one always does
+        reached = next((k for k, r in enumerate(estimated_recall(checked, sure, doubt)) if r >= recall), len(depths) - 1)
+        if reached <= place:
             break
+        place = reached
     found = checked.groupBy("cls").agg(F.sum("docs").alias("linked"))
     comps = connected_components(checked.where("cls <> root").select(F.col("cls").alias("src"), F.col("root").alias("dst")))
     out = (
