@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +43,24 @@ def seeds_to_paths(seeds: DataFrame) -> DataFrame:
     )
 
 
+def with_relation_weights(edges: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """Add ``rel_weight`` (0 for relations without one) by a join with a table of the weights, whose size the optimizer
+    knows; there may be as many relations as the schema has.  Edges that have the column keep it."""
+    if "rel_weight" in edges.columns:
+        return edges
+    if not weights:
+        return edges.withColumn("rel_weight", F.lit(0.0))
+    given = edges.sparkSession.createDataFrame(pa.table({"rel": pa.array(list(weights), pa.string()), "rel_weight": pa.array(map(float, weights.values()), pa.float64())}))
+    return edges.join(given, "rel", "left").na.fill(0.0, ["rel_weight"])
+
+
 def extend(paths: DataFrame, edges: DataFrame, hop: int, relation_weights: dict[str, float] | None = None, features: DataFrame | None = None, hub_strength: float = 0.0, terminal: bool = False) -> DataFrame:
     """All cycle-free extensions by one edge, scored.
 
     ``features`` may give id, community and degree of nodes.  An edge's weight is the logistic of its
     features; the path's score is multiplied by it and by the coherence of the communities passed."""
+    edges = with_relation_weights(edges, relation_weights)
     out = paths.join(edges.withColumnsRenamed({"weight": "edge_weight"}), F.col("tail") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-    rel_weight = F.lit(0.0)
-    for name, value in (relation_weights or {}).items():
-        rel_weight = F.when(F.col("rel") == name, F.lit(value)).otherwise(rel_weight)
     if features is not None:
         out = out.join(features.select(F.col("id").alias("dst"), "community", "degree"), "dst", "left")
     else:
@@ -58,7 +68,7 @@ def extend(paths: DataFrame, edges: DataFrame, hop: int, relation_weights: dict[
     before = F.when(F.size("cseq") > 0, F.try_element_at("cseq", F.lit(-1))).otherwise(F.lit(-1))
     parts = {
         "cs": S.community_score(before, F.coalesce("community", F.lit(-1)), F.lit(None).cast("double"), F.lit(False)),
-        "etw": rel_weight,
+        "etw": F.col("rel_weight"),
         "hd": S.hop_decay(hop),
         "grounding": S.credibility(F.col("provenance")) * F.col("confidence"),
     }
@@ -105,7 +115,7 @@ def hops(seeds: DataFrame, edges: DataFrame, max_hop: int = 3, width: int | list
     """The beam after each hop; the last hop is neither pruned nor written (it is the widest, and most
     consumers aggregate it at once).  Neighbours are capped once, before."""
     edges = edges.where(valid_at(F.lit(at))) if at is not None else edges
-    edges = materialize(cap_per_node(edges, neighbours), "capped")
+    edges = materialize(with_relation_weights(cap_per_node(edges, neighbours), scoring.get("relation_weights")), "capped")
     widths = width if isinstance(width, list) else [width] * max_hop
     beam = seeds_to_paths(seeds)
     for hop in range(1, max_hop + 1):

@@ -278,8 +278,8 @@ def homeostatic(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("user_id", r6(S.homeostatic_scale(F.transform("l", lambda x: x.value))).alias("scale"))
 
 
-_PATHS = """, paths AS (SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.dst AS n3, [a.confidence, b.confidence, c.confidence] AS conf, [a.provenance, b.provenance, c.provenance] AS prov, split_part(b.dst, ':', 2)::INT AS nation, split_part(c.dst, ':', 2)::INT AS region
-FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.rel = 'FULFILLED_BY' AND b.rel = 'LOCATED_IN' AND c.rel = 'IN_REGION') """
+_PATHS = """, served AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), paths AS (SELECT 'order:' || l_orderkey AS n0, 'supplier:' || l_suppkey AS n1, 'nation:' || n_nationkey AS n2, 'region:' || n_regionkey AS n3, [0.8::DOUBLE, 0.95::DOUBLE, 1.0::DOUBLE] AS conf, ['hypothesis:lineitem', 'dbpedia:supplier', 'wikidata:nation'] AS prov, n_nationkey::INT AS nation, n_regionkey::INT AS region
+FROM served JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) """
 
 
 def chain_paths(spark: SparkSession, sf: str) -> DataFrame:

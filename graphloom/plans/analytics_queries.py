@@ -18,12 +18,11 @@ def r6(c):
     return F.round(c, 6)
 
 
-SMALL = ["IN_REGION", "LOCATED_IN", "EVENTS"]
-_S = ", s AS (SELECT * FROM edges WHERE rel IN ('IN_REGION', 'LOCATED_IN') OR src LIKE 'user:%')"
+_S = ", s AS (SELECT * FROM edges)"
 
 
-def _small(spark: SparkSession, sf: str) -> DataFrame:
-    return edge_view(spark, sf, SMALL)
+def _all(spark: SparkSession, sf: str) -> DataFrame:
+    return edge_view(spark, sf)
 
 
 def _kinds(edges: DataFrame) -> DataFrame:
@@ -45,7 +44,7 @@ def _rank_sql(rounds: int, restart: str | None = None) -> str:
 
 @query("G17_pagerank_10", _S + _rank_sql(10) + " SELECT id, round(rank, 8) AS rank FROM r10", edges=True)
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return G.pagerank(_small(spark, sf), 10).withColumn("rank", F.round("rank", 8))
+    return G.pagerank(_all(spark, sf), 10).withColumn("rank", F.round("rank", 8))
 
 
 @query("Q1_personal_pagerank", _S + _rank_sql(5, "user:1") + " SELECT id, round(rank, 8) AS rank FROM r5 WHERE id <> 'user:1' ORDER BY r5.rank DESC, id LIMIT 10", edges=True)
@@ -53,7 +52,7 @@ def personal_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.operators.baselines import personal_rank
 
     seed = spark.createDataFrame([("user:1",)], "id string")
-    return personal_rank(_small(spark, sf), seed, 10, 5).withColumn("rank", F.round("rank", 8))
+    return personal_rank(_all(spark, sf), seed, 10, 5).withColumn("rank", F.round("rank", 8))
 
 
 def _lpa_sql(rounds: int) -> str:
@@ -65,18 +64,18 @@ def _lpa_sql(rounds: int) -> str:
 
 @query("G8_G24_label_propagation", _S + _lpa_sql(4) + " SELECT id, label FROM l4", edges=True)
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    return G.label_propagation(_small(spark, sf), 4)
+    return G.label_propagation(_all(spark, sf), 4)
 
 
 @query("G10_modularity", _S + _CID + ", p AS (SELECT a.cid AS cu, b.cid AS cv FROM s JOIN c a ON src = a.id JOIN c b ON dst = b.id), m AS (SELECT count(*) AS m FROM p), i AS (SELECT cu AS cid, count(*) AS n FROM p WHERE cu = cv GROUP BY cu), e AS (SELECT cid, count(*) AS d FROM (SELECT cu AS cid FROM p UNION ALL SELECT cv FROM p) GROUP BY cid) SELECT round(sum(coalesce(n, 0) / m::DOUBLE - pow(d / (2.0::DOUBLE * m), 2)), 6) AS q FROM e LEFT JOIN i USING (cid), m", edges=True)
 def modularity(spark: SparkSession, sf: str) -> DataFrame:
-    e = _small(spark, sf)
+    e = _all(spark, sf)
     return G.modularity(e, _kinds(e)).select(r6(F.col("q")).alias("q"))
 
 
 @query("G14_soft_membership", _S + _CID + ", b AS (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s), v AS (SELECT src AS id, cid, count(*)::DOUBLE AS w FROM b JOIN c ON dst = c.id GROUP BY ALL UNION ALL SELECT src, cid, count(*) * 0.1::DOUBLE FROM b JOIN c ON src = c.id GROUP BY ALL), g AS (SELECT id, cid, sum(w) AS w FROM v GROUP BY ALL) SELECT id, cid, round(w / sum(w) OVER (PARTITION BY id), 6) AS p FROM g", edges=True)
 def soft_membership(spark: SparkSession, sf: str) -> DataFrame:
-    e = _small(spark, sf)
+    e = _all(spark, sf)
     return G.soft_membership(e, _kinds(e)).withColumn("p", r6(F.col("p")))
 
 
@@ -85,7 +84,7 @@ _PAIRS = ", p AS (SELECT DISTINCT least(a.cid, b.cid) AS cu, greatest(a.cid, b.c
 
 @query("G22_G23_community_pairs", _S + _CID + ", q AS (SELECT least(a.cid, b.cid) AS cu, greatest(a.cid, b.cid) AS cv, count(*) AS n FROM s JOIN c a ON src = a.id JOIN c b ON dst = b.id WHERE a.cid <> b.cid GROUP BY ALL) SELECT * FROM q", edges=True)
 def community_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    e = _small(spark, sf)
+    e = _all(spark, sf)
     return G.community_graph(e, _kinds(e))
 
 
@@ -95,13 +94,13 @@ def community_pairs(spark: SparkSession, sf: str) -> DataFrame:
     edges=True,
 )
 def community_distances(spark: SparkSession, sf: str) -> DataFrame:
-    e = _small(spark, sf)
+    e = _all(spark, sf)
     return G.community_distances(G.community_graph(e, _kinds(e)), 3)
 
 
 @query("G16_partition_metrics", _S + _CID + ", z AS (SELECT cid, count(*) AS size FROM c GROUP BY cid) SELECT count(*) AS communities, min(size) AS least, max(size) AS most, round(avg(size), 6) AS mean FROM z", edges=True)
 def partition_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return G.partition_metrics(_kinds(_small(spark, sf))).withColumn("mean", r6(F.col("mean")))
+    return G.partition_metrics(_kinds(_all(spark, sf))).withColumn("mean", r6(F.col("mean")))
 
 
 @query(
@@ -127,7 +126,7 @@ def split_disconnected(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("G18_node_recency", _S + ", e AS (SELECT src AS id, coalesce(valid_to, valid_from) AS t FROM s UNION ALL SELECT dst, coalesce(valid_to, valid_from) FROM s) SELECT id, round(coalesce(1 - least(greatest(1707000000.0::DOUBLE - max(t), 0) / 1e7, 1), 0), 6) AS recency FROM e GROUP BY id", edges=True)
 def node_recency(spark: SparkSession, sf: str) -> DataFrame:
-    return G.recency(_small(spark, sf), 1707000000.0, 1e7).withColumn("recency", r6(F.col("recency")))
+    return G.recency(_all(spark, sf), 1707000000.0, 1e7).withColumn("recency", r6(F.col("recency")))
 
 
 _SIM = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings), k AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) <= 40)"
@@ -227,7 +226,7 @@ def literature_recency(spark: SparkSession, sf: str) -> DataFrame:
     edges=True,
 )
 def discovery_weights(spark: SparkSession, sf: str) -> DataFrame:
-    e = _small(spark, sf)
+    e = _all(spark, sf)
     c = _kinds(e)
     rates = e.join(c.select(F.col("id").alias("src"), "cid"), "src").groupBy("cid").agg(F.count("*").alias("scans"), F.sum(F.when(F.col("rel") == "purchase", 1).otherwise(0)).alias("finds"))
     got = J.discovery_weights(rates.join(J.curiosity(e, c), "cid"))
@@ -326,17 +325,17 @@ def hot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("G1_G2_G3_G25_consensus_communities", None)
 def consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return G.consensus_communities(_small(spark, sf), 4)
+    return G.consensus_communities(_all(spark, sf), 4)
 
 
 @query("G5_G4_hierarchical", None)
 def hierarchical(spark: SparkSession, sf: str) -> DataFrame:
-    return G.hierarchical(_small(spark, sf), 10)
+    return G.hierarchical(_all(spark, sf), 10)
 
 
 @query("G11_G20_merge_small", None)
 def merge_small(spark: SparkSession, sf: str) -> DataFrame:
-    e = _small(spark, sf)
+    e = _all(spark, sf)
     return G.merge_small(e, materialize(_kinds(e), "kinds"), 50)
 
 
@@ -346,7 +345,7 @@ def _q_sql(name: str, cid: str) -> str:
 
 @query("G12_G26_G27_best_of", _S + ", " + _q_sql("d", "split_part({0}, ':', 1) || right({0}, 1)") + ", " + _q_sql("t", "split_part({0}, ':', 1)") + " SELECT CASE WHEN qd.q >= qt.q THEN 'digits' ELSE 'types' END AS best, round(greatest(qd.q, qt.q), 6) AS q FROM qd, qt", edges=True)
 def best_of(spark: SparkSession, sf: str) -> DataFrame:
-    e = _small(spark, sf)
+    e = _all(spark, sf)
     name, q = G.best_of(e, {"digits": _kinds(e), "types": nodes_of(e).select("id", F.col("type").alias("cid"))})
     return spark.createDataFrame([(name, round(q, 6))], "best string, q double")
 

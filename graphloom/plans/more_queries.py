@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +69,56 @@ def conceptnet(spark: SparkSession, sf: str) -> DataFrame:
     return files.from_conceptnet(spark, path).select("src", "rel", "dst", "confidence")
 
 
-@query("A12_A18_A19_A23_facades", ", x AS (SELECT 1) SELECT rel, count(*) AS n FROM edges WHERE rel = 'LOCATED_IN' GROUP BY rel", edges=True)
+@query("A12_A18_A19_A23_facades", ", l AS (SELECT rel, count(*) AS n FROM edges WHERE rel = 'LOCATED_IN' GROUP BY rel) SELECT unnest(['feather', 'frame', 'parquet', 'sql', 'table', 'table where']) AS source, rel, n FROM l", edges=True)
 def facades(spark: SparkSession, sf: str) -> DataFrame:
+    """The same edges through every tabular loader: a parquet file, a frame, a Feather file, SQL and a table."""
+    import pyarrow.feather
+
+    rows = _loc(spark, sf).selectExpr("src as source", "dst as target", "rel as relation")
     path = shared_path(spark, "edges.parquet")
-    _loc(spark, sf).selectExpr("src as source", "dst as target", "rel as relation").write.parquet(path)
-    return Graph.load(spark, path).edges.groupBy("rel").agg(F.count("*").alias("n"))
+    rows.write.parquet(path)
+    rows.createOrReplaceTempView("facade_edges")
+    sites = rows.toArrow()
+    with tempfile.NamedTemporaryFile(suffix=".feather") as f:  # read on the driver, at once
+        pyarrow.feather.write_feather(sites, f.name)
+        feather = files.from_arrow(spark, f.name, directed=True)
+    found = {
+        "parquet": Graph.load(spark, path).edges,
+        "frame": files.from_parquet(spark, rows, "source", "target", "relation"),
+        "feather": feather,
+        "sql": files.from_sql(spark, "SELECT source, target, relation FROM facade_edges"),
+        "table": files.from_sql_table(spark, "facade_edges", "source", "target", "relation"),
+        "table where": files.from_sql_table(spark, "facade_edges", "source", "target", "relation", where="relation = 'LOCATED_IN'"),
+    }
+    out = [e.groupBy("rel").agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "rel", "n") for name, e in found.items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query("A5_A6_A7_markup_files", ", l AS (SELECT src, rel, dst FROM edges WHERE rel = 'IN_REGION') SELECT unnest(['gexf', 'gml', 'graphml']) AS kind, * FROM l", edges=True)
+def markup_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges written as GraphML, GEXF and GML and loaded again."""
+    rows = edge_view(spark, sf, ["IN_REGION"]).select("src", "rel", "dst")
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    line = {
+        "graphml": F.concat(F.lit("<edge source="), quoted("src"), F.lit(" target="), quoted("dst"), F.lit('><data key="relation">'), "rel", F.lit("</data></edge>")),
+        "gexf": F.concat(F.lit("<edge source="), quoted("src"), F.lit(" target="), quoted("dst"), F.lit(" label="), quoted("rel"), F.lit("/>")),
+        "gml": F.concat(F.lit("edge [ source "), "src", F.lit(" target "), "dst", F.lit(" label "), quoted("rel"), F.lit(" ]")),
+    }
+    out = []
+    for kind, text in line.items():
+        path = shared_path(spark, f"edges.{kind}")
+        rows.select(text.alias("value")).write.text(path)
+        out.append(files.load(spark, path, directed=True).select(F.lit(kind).alias("kind"), "src", "rel", "dst"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query("A21_A22_triples", ", l AS (SELECT src, rel, dst FROM edges WHERE rel = 'IN_REGION' UNION ALL SELECT src, 'NEAR', dst FROM edges WHERE rel = 'IN_REGION'), w AS (SELECT src, 'NEAR' AS rel, dst FROM edges WHERE rel = 'IN_REGION') SELECT 'all' AS kept, * FROM l UNION ALL SELECT 'last', * FROM w", edges=True)
+def triples(spark: SparkSession, sf: str) -> DataFrame:
+    """Triples held in memory: all, and the last of each pair of ends."""
+    rows = [tuple(r) for r in edge_view(spark, sf, ["IN_REGION"]).select("src", "rel", "dst").collect()]  # 25 nations
+    rows += [(s, "NEAR", d) for s, _, d in rows]
+    every, last = files.from_triples(spark, rows), files.from_triples(spark, rows, last_wins=True)
+    return every.select(F.lit("all").alias("kept"), "src", "rel", "dst").unionByName(last.select(F.lit("last").alias("kept"), "src", "rel", "dst"))
 
 
 @query("A22_last_wins", "SELECT 'user:' || user_id AS src, 'k:' || json_extract_string(props, '$.k') AS dst, arg_max(event_type, event_id) AS rel FROM events GROUP BY ALL")
@@ -92,11 +140,14 @@ def sorted_store(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("src", "rel", "dst")
 
 
-@query("A33_text_files", "SELECT count(*) AS files, sum(length(text)) AS chars FROM pages, (SELECT 'x' AS text) WHERE FALSE HAVING TRUE")
+@query("A33_text_files", "SELECT page_id % 8 AS bucket, count(*) AS files, sum(coalesce(length(html), 0) + 1)::BIGINT AS chars, count(DISTINCT page_id) AS names FROM pages GROUP BY ALL")
 def text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A text file for every page, read whole: the name gives the page again."""
     path = shared_path(spark, "texts")
-    spark.createDataFrame([], "value string").write.text(path)
-    return files.from_text_files(spark, path).where("text <> ''").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+    pages = table(spark, sf, "pages")
+    pages.select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(path)
+    got = files.from_text_files(spark, f"{path}/page_id=*").select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), "text")
+    return got.groupBy((F.col("page_id") % 8).alias("bucket")).agg(F.count("*").alias("files"), F.sum(F.length("text")).cast("bigint").alias("chars"), F.countDistinct("page_id").alias("names"))
 
 
 @query("A35_frame_relations", "WITH d AS (SELECT l_orderkey AS frame, l_linenumber AS item, l_partkey % 100 AS x FROM lineitem) SELECT a.frame, a.item AS a, b.item AS b, CASE WHEN a.x < b.x THEN 'LEFT_OF' ELSE 'RIGHT_OF' END AS rel FROM d a JOIN d b ON a.frame = b.frame AND a.item < b.item AND a.x <> b.x")

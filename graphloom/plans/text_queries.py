@@ -31,10 +31,12 @@ def relation_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return L.extract_relations(q, names, 2).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("L4_L5_L1_question_parse", "SELECT conv_id, turn, CASE WHEN n > 12 OR contains(low, 'of the') THEN 2 ELSE 1 END::INT AS hops, coalesce(map_extract(MAP {'who': 'person', 'whom': 'person', 'where': 'place', 'when': 'time', 'why': 'reason', 'how': 'manner', 'which': 'choice', 'what': 'thing'}, regexp_extract(low, '^[^a-z0-9_]*([a-z0-9_]+)', 1))[1], 'other') AS kind FROM (SELECT *, lower(text) AS low, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM conversations) WHERE NOT regexp_matches(low, '\\bof the\\b.*\\bof the\\b', 's')")
+_HOPS = r"CASE WHEN regexp_extract(low, '([0-9]+)[- ]hop', 1) <> '' THEN TRY_CAST(regexp_extract(low, '([0-9]+)[- ]hop', 1) AS INT) WHEN regexp_extract(low, '(one|two|three|four)[- ]hop', 1) <> '' THEN list_position(['one', 'two', 'three', 'four'], regexp_extract(low, '(one|two|three|four)[- ]hop', 1)) WHEN regexp_matches(low, '\bof the\b[^\n\r]*\bof the\b') THEN 3 WHEN n > 12 OR contains(low, 'of the') THEN 2 ELSE 1 END::INT"
+
+
+@query("L4_L5_L1_question_parse", f"SELECT conv_id, turn, {_HOPS} AS hops, coalesce(map_extract(MAP {{'who': 'person', 'whom': 'person', 'where': 'place', 'when': 'time', 'why': 'reason', 'how': 'manner', 'which': 'choice', 'what': 'thing'}}, regexp_extract(low, '^[^a-z0-9_]*([a-z0-9_]+)', 1))[1], 'other') AS kind FROM (SELECT *, lower(coalesce(text, '')) AS low, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS n FROM conversations)")
 def question_parse(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where(~F.lower("text").rlike(r"(?s)\bof the\b.*\bof the\b"))
-    return c.select("conv_id", "turn", L.infer_hops(F.col("text")).alias("hops"), L.question_type(F.col("text")).alias("kind"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", L.infer_hops(F.col("text")).alias("hops"), L.question_type(F.col("text")).alias("kind"))
 
 
 @query("L6_question_keywords", "SELECT conv_id, turn, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'are', 'was', 'were', 'for', 'with', 'that', 'this')))) AS n FROM conversations")
@@ -78,9 +80,9 @@ def verb_relation(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_type", L.verb_relation(verb, {"pur": "BOUGHT", "cli": "TOUCHED"}).alias("rel"))
 
 
-@query("L18_sliding_chunks", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 200 THEN 1 ELSE 1 + (length(text) - 50 - 1) // 150 END AS n, right(text, 20) AS tail FROM documents WHERE length(text) > 20")
+@query("L18_sliding_chunks", "SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 0 WHEN length(text) <= 200 THEN 1 ELSE 1 + (length(text) - 50 - 1) // 150 END AS n, CASE WHEN length(text) > 0 THEN right(text, 20) END AS tail FROM documents")
 def sliding_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("length(text) > 20").select("doc_id", L.sliding_chunks(F.col("text"), 200, 50).alias("c"))
+    d = table(spark, sf, "documents").select("doc_id", L.sliding_chunks(F.coalesce("text", F.lit("")), 200, 50).alias("c"))
     return d.select("doc_id", F.size("c").cast("bigint").alias("n"), F.right(F.try_element_at("c", F.lit(-1)), F.lit(20)).alias("tail"))
 
 
@@ -132,12 +134,6 @@ def text_triples(spark: SparkSession, sf: str) -> DataFrame:
     return L.triples_of(table(spark, sf, "documents"), {"auth": "AUTHORED", "licens": "LICENSED"})
 
 
-@query("A5_page_links", "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM h GROUP BY ALL")
-def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    h = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
-    return h.groupBy("page_id", "href").agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- streams
 
 

@@ -75,7 +75,8 @@ def beam_trace(spark: SparkSession, sf: str) -> DataFrame:
     return T.trace(first, 3).where("kept").select("query_id", T.path_text().alias("path"), F.col("rank").cast("bigint").alias("rank"))
 
 
-_TWO = """, a AS (SELECT src AS id, rel AS r1, dst AS mid, confidence AS c1 FROM edges WHERE rel IN ('PLACED_BY', 'FULFILLED_BY')), b AS (SELECT src AS mid, rel AS r2, dst AS tail, confidence AS c2 FROM edges WHERE rel = 'LOCATED_IN') """
+_TWO = """, a AS (SELECT 'order:' || o_orderkey AS id, 'PLACED_BY' AS r1, 'customer:' || o_custkey AS mid, 0.9::DOUBLE AS c1 FROM orders UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'FULFILLED_BY', 'supplier:' || l_suppkey, 0.8::DOUBLE FROM lineitem),
+b AS (SELECT 'customer:' || c_custkey AS mid, 'LOCATED_IN' AS r2, 'nation:' || c_nationkey AS tail, 0.95::DOUBLE AS c2 FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'LOCATED_IN', 'nation:' || s_nationkey, 0.95::DOUBLE FROM supplier) """
 
 
 @query("D10_D9_stitch", _TWO + "SELECT id, mid, tail, round(sqrt(c1 * c2), 6) AS score FROM a JOIN b USING (mid)", edges=True)
@@ -100,11 +101,11 @@ def funnel(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, w) for i, w in enumerate(S.funnel_widths(4, 10))], "hop int, width int")
 
 
-_PATHS3 = """, step AS (SELECT src, rel, dst FROM edges WHERE rel IN ('PLACED_BY', 'FULFILLED_BY', 'LOCATED_IN', 'IN_REGION')), p1 AS (SELECT src AS id, [src, rel, dst] AS path, dst AS tail FROM step WHERE src LIKE 'order:%'),
-p2 AS (SELECT id, list_concat(path, [rel, dst]) AS path, dst AS tail FROM p1 JOIN step ON tail = src WHERE NOT list_contains(path, dst)), p3 AS (SELECT id, list_concat(path, [rel, dst]) AS path, dst AS tail FROM p2 JOIN step ON tail = src WHERE NOT list_contains(path, dst)) """
+_PATHS3 = """, mid AS (SELECT 'order:' || o_orderkey AS id, 'PLACED_BY|customer:' || o_custkey AS via, c_nationkey AS nation FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'order:' || l_orderkey, 'FULFILLED_BY|supplier:' || l_suppkey, s_nationkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) """
 
 
-@query("D14_bounded_paths", _PATHS3 + "SELECT id, array_to_string(path, '|') AS path FROM p3", edges=True)
+@query("D14_bounded_paths", _PATHS3 + "SELECT id, id || '|' || via || '|LOCATED_IN|nation:' || nation || '|IN_REGION|region:' || n_regionkey AS path FROM mid JOIN nation ON nation = n_nationkey", edges=True)
 def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
     seeds = _seeds(spark, sf)
     regions = table(spark, sf, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))

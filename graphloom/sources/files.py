@@ -157,8 +157,8 @@ def from_triples(spark: SparkSession, triples: list[tuple], last_wins: bool = Fa
     return df.drop("seq")
 
 
-def from_rdf(spark: SparkSession, path: str, limit: int | None = 10_000) -> DataFrame:
-    """N-Triples whose object is an IRI; ``limit`` bounds the sample."""
+def from_rdf(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """N-Triples whose object is an IRI: all of them, or a sample of ``limit`` for an export that asks for one."""
     line = spark.read.text(path).select(F.regexp_extract_all("value", F.lit(r"<([^>]*)>"), 1).alias("x"), "value").where("size(x) = 3 and trim(value) rlike '^<[^>]*>\\\\s*<[^>]*>\\\\s*<[^>]*>'")
     out = clean(line, F.col("x")[0], F.col("x")[2], F.col("x")[1])
     return out.limit(limit) if limit else out

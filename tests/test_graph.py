@@ -169,3 +169,23 @@ def test_translation_is_trained_on_all_edges(spark):
     heads = ent.where("id LIKE 'a%'").selectExpr("id AS head", "v AS hv", "'R' AS rel")
     best = embedding.predict_links(heads, rel.selectExpr("rel", "v AS rv"), ent.where("id LIKE 'hub%'"), 1).collect()
     assert sum(r.id == f"hub{int(r.head[1:]) % 2}" for r in best) >= 36
+
+
+def test_beam_takes_thousands_of_relations(spark):
+    from graphloom.operators import traversal
+
+    weights = {f"R{i}": i / 5000 for i in range(5000)}
+    edges = spark.createDataFrame([("a", f"R{i}", f"b{i % 50}", 1.0, 0.9, "x", None, None) for i in range(5000)], "src string, rel string, dst string, weight double, confidence double, provenance string, valid_from double, valid_to double")
+    seeds = spark.createDataFrame([(1, "a")], "query_id int, id string")
+    got = traversal.extend(traversal.seeds_to_paths(seeds), edges, 1, weights)
+    best = got.orderBy("score", ascending=False).first()
+    assert got.count() == 5000 and best.path == ["a", "R4999", "b49"]
+
+
+def test_components_of_long_chains(spark):
+    from graphloom.operators.components import connected_components
+
+    chain = [(i, i + 1) for i in range(3000)] + [(10_000, 10_001), (20_000, 20_000), (None, 5)]
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame(chain, "src bigint, dst bigint")).collect())
+    assert all(got[i] == 0 for i in range(3001))
+    assert (got[10_001], got[20_000]) == (10_000, 20_000)
