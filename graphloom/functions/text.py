@@ -205,6 +205,26 @@ def utterance_edges(turns: DataFrame) -> DataFrame:
     return follows.unionByName(said)
 
 
+#: Relations from a dialogue act to what it speaks of.
+ACT_RELATIONS = ("references", "elaborates", "confirms", "requests", "entails")
+
+
+def act_edges(turns: DataFrame) -> DataFrame:
+    """An edge from every turn to each of its keywords: a question requests, an agreement confirms, a later turn of the
+    assistant elaborates, any other references."""
+    name = F.concat_ws(":", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    rel = F.when(F.contains(low, F.lit("?")), "requests").when(low.rlike(r"^(yes|right|exactly|correct)\b"), "confirms").when((F.col("role") == "assistant") & (F.col("turn") > 0), "elaborates").otherwise("references")
+    return turns.select(name.alias("src"), rel.alias("rel"), F.explode(keywords(F.coalesce("text", F.lit("")))).alias("dst"))
+
+
+def recall_about(edges: DataFrame, entity: str) -> DataFrame:
+    """Dialogue acts (src, rel) that speak of an entity; if none has its name, of the first one that has it in another case."""
+    named = edges.where(F.lower("dst") == entity.lower())
+    meant = named.agg(F.min(F.struct(F.col("dst") != entity, "dst")).alias("m")).select(F.col("m.dst").alias("dst"))
+    return named.where(F.col("rel").isin(*ACT_RELATIONS)).join(meant, "dst", "left_semi").select("src", "rel")
+
+
 def frequency_codes(items: DataFrame, column: str) -> DataFrame:
     """A number per value, 0 for the most frequent: value, n, code.  The values are few (relations),
     so their one window is small."""

@@ -104,10 +104,12 @@ def markup_files(spark: SparkSession, sf: str) -> DataFrame:
         "gexf": F.concat(F.lit("<edge source="), quoted("src"), F.lit(" target="), quoted("dst"), F.lit(" label="), quoted("rel"), F.lit("/>")),
         "gml": F.concat(F.lit("edge [ source "), "src", F.lit(" target "), "dst", F.lit(" label "), quoted("rel"), F.lit(" ]")),
     }
+    around = {"graphml": ("<graphml><graph>\n", "\n</graph></graphml>"), "gexf": ("<gexf><graph><edges>\n", "\n</edges></graph></gexf>"), "gml": ("graph [\n", "\n]")}
     out = []
     for kind, text in line.items():
         path = shared_path(spark, f"edges.{kind}")
-        rows.select(text.alias("value")).write.text(path)
+        inside = F.array_join(F.sort_array(F.collect_list(text)), "\n")  # 25 nations
+        rows.agg(F.concat(F.lit(around[kind][0]), inside, F.lit(around[kind][1])).alias("value")).write.text(path)
         out.append(files.load(spark, path, directed=True).select(F.lit(kind).alias("kind"), "src", "rel", "dst"))
     return functools.reduce(DataFrame.unionByName, out)
 

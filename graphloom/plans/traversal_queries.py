@@ -162,9 +162,14 @@ def episodic_recall(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("src", "rel", "dst", "valid_from")
 
 
-@query("D27_dialogue_recall", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'that')")
+@query(
+    "D27_dialogue_recall",
+    "SELECT 'turn:' || conv_id || ':' || turn AS src, CASE WHEN contains(text, '?') THEN 'requests' WHEN regexp_matches(lower(text), '^(yes|right|exactly|correct)\\b') THEN 'confirms' WHEN role = 'assistant' AND turn > 0 THEN 'elaborates' ELSE 'references' END AS rel FROM conversations WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'from')",
+)
 def dialogue_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").where(F.contains(F.lower("text"), F.lit("that"))).select("conv_id", "turn")
+    from graphloom.functions import text as L
+
+    return L.recall_about(L.act_edges(table(spark, sf, "conversations")), "From")
 
 
 @query(
@@ -264,18 +269,21 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return N.community_fingerprints(e, nodes_of(e).select("id", F.col("type").alias("cid"))).withColumn("purity", r6(F.col("purity")))
 
 
-@query("F5_community_consensus", _SCORED + ", v AS (SELECT query_id, entity, least(raw, 1) AS score, CASE split_part(entity, ':', 1) WHEN 'region' THEN 'r' ELSE 'x' END AS last FROM ans), sh AS (SELECT *, sum(score) OVER (PARTITION BY query_id, last) / sum(score) OVER (PARTITION BY query_id) AS share FROM v), t AS (SELECT *, max({'share': share, 'last': last}) OVER (PARTITION BY query_id) AS top FROM sh) SELECT query_id, entity, round(score * CASE WHEN top.share < 0.65 THEN 1.0::DOUBLE WHEN last = top.last THEN 1.2 ELSE 0.9 END, 5) AS score FROM t", edges=True)
+@query("F5_community_consensus", _SCORED + ", lp AS (SELECT query_id, tail AS entity, min({'n': -ps, 't': array_to_string(path, '|'), 'rel': path[len(path) - 1]}).rel AS last FROM s GROUP BY ALL), v AS (SELECT query_id, entity, least(raw, 1) AS score, last FROM ans JOIN lp USING (query_id, entity)), sh AS (SELECT *, sum(score) OVER (PARTITION BY query_id, last) / sum(score) OVER (PARTITION BY query_id) AS share FROM v), t AS (SELECT *, max({'share': share, 'last': last}) OVER (PARTITION BY query_id) AS top FROM sh) SELECT query_id, entity, round(score * CASE WHEN top.share < 0.65 THEN 1.0::DOUBLE WHEN last = top.last THEN 1.2 ELSE 0.9 END, 5) AS score FROM t", edges=True)
 def community_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.startswith("entity", F.lit("region:")), "r").otherwise("x")
-    ans = _answers(spark, sf).withColumn("path", F.array(F.lit("a"), kind, F.lit("b")))
-    return N.community_consensus(ans).select("query_id", "entity", F.round("score", 5).alias("score"))
+    return N.community_consensus(_answers(spark, sf)).select("query_id", "entity", F.round("score", 5).alias("score"))
+
+
+_CAUSES = """, sup AS (SELECT DISTINCT l_orderkey AS query_id, l_suppkey FROM lineitem), hit AS (SELECT query_id, 'supplier:' || l_suppkey AS entity FROM sup UNION SELECT query_id, 'nation:' || s_nationkey FROM sup JOIN supplier ON l_suppkey = s_suppkey
+UNION SELECT query_id, 'region:' || n_regionkey FROM sup JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) """
 
 
-@query("F4_deductive_rerank", _SCORED + "SELECT query_id, entity, round(least(raw, 1) * CASE WHEN entity LIKE 'region:%' THEN 1.3::DOUBLE ELSE 0.9 END, 5) AS score FROM ans", edges=True)
+@query("F4_deductive_rerank", _SCORED + _CAUSES + "SELECT a.query_id, a.entity, round(least(raw, 1) * CASE WHEN hit.entity IS NOT NULL THEN 1.3::DOUBLE ELSE 0.9 END, 5) AS score FROM ans a LEFT JOIN hit ON a.query_id = hit.query_id AND a.entity = hit.entity", edges=True)
 def deductive_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    ans = _answers(spark, sf)
-    reached = _beam(spark, sf).where(F.startswith("tail", F.lit("region:"))).select("query_id", F.col("tail").alias("entity"))
-    return N.deductive_rerank(ans, reached).select("query_id", "entity", F.round("score", 5).alias("score"))
+    """Delivery stands for cause: an order's suppliers, their nations and regions are reached by it."""
+    causal = edge_view(spark, sf, ["FULFILLED_BY", "LOCATED_IN", "IN_REGION"])
+    reached = T.reachable(_seeds(spark, sf), causal, 3).where("depth > 0").select("query_id", F.col("id").alias("entity"))
+    return N.deductive_rerank(_answers(spark, sf), reached).select("query_id", "entity", F.round("score", 5).alias("score"))
 
 
 @query("F17_dissonance", _SCORED + "SELECT query_id, entity FROM ans WHERE least(raw, 1) >= 0.5 AND consensus <= 0.5", edges=True)
