@@ -294,7 +294,10 @@ def uniform_scorer(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- answers
 
 
-@query("F2_answer_conflicts", None)
+@query("F2_answer_conflicts", _SCORED + """, b AS (SELECT query_id, tail AS entity, path FROM s QUALIFY row_number() OVER (PARTITION BY query_id, tail ORDER BY ps DESC, array_to_string(path, '|')) = 1),
+r AS (SELECT DISTINCT query_id, rank, entity, unnest(list_filter(path, lambda x, i: i % 2 = 0)) AS rel FROM ans JOIN b USING (query_id, entity))
+SELECT DISTINCT x.query_id, x.entity, y.entity AS entity2, x.rel, y.rel AS other FROM r x JOIN r y ON x.query_id = y.query_id AND x.rank < y.rank
+WHERE (x.rel = 'CONTAINS' AND y.rel = 'PLACED_BY') OR (x.rel = 'PLACED_BY' AND y.rel = 'CONTAINS')""", edges=True)
 def answer_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     opposing = spark.createDataFrame([("CONTAINS", "PLACED_BY"), ("PLACED_BY", "CONTAINS")], "a string, b string")
     return N.answer_conflicts(_answers(spark, sf), opposing)

@@ -86,10 +86,13 @@ def sliding_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size("c").cast("bigint").alias("n"), F.right(F.try_element_at("c", F.lit(-1)), F.lit(20)).alias("tail"))
 
 
-@query("L17_sentence_chunks", None)
+# The state of the fold: length of the open chunk, number and greatest length of those done.
+@query("L17_sentence_chunks", r"""WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(coalesce(text, ''), ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
+f AS (SELECT doc_id, list_reduce(list_prepend([0, 0, 0]::BIGINT[], list_transform(s, lambda x: [length(x), 0, 0]::BIGINT[])), lambda a, x: CASE WHEN a[1] = 0 THEN [x[1], a[2], a[3]] WHEN a[1] + 1 + x[1] <= 400 THEN [a[1] + 1 + x[1], a[2], a[3]] ELSE [x[1], a[2] + 1, greatest(a[3], a[1])] END) AS a FROM t)
+SELECT doc_id, a[2] + CASE WHEN a[1] > 0 THEN 1 ELSE 0 END AS n, CASE WHEN a[1] > 0 THEN greatest(a[3], a[1]) END AS longest FROM f""")
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     c = L.sentence_chunks(F.col("text"), 400)
-    return table(spark, sf, "documents").select("doc_id", c.alias("c")).select("doc_id", F.size("c").alias("n"), F.array_max(F.transform("c", F.length)).alias("longest"))
+    return table(spark, sf, "documents").select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("bigint").alias("n"), F.array_max(F.transform("c", F.length)).cast("bigint").alias("longest"))
 
 
 @query("L19_L20_ensemble_merge", "SELECT user_id::VARCHAR AS src, event_type AS rel, json_extract_string(props, '$.k') AS dst, round(CASE WHEN count(DISTINCT event_id % 3) >= 2 THEN least(max(value / 200) + 0.1::DOUBLE, 1) ELSE max(value / 200) END, 6) AS confidence, count(DISTINCT event_id % 3) AS backends FROM events GROUP BY ALL")
@@ -308,7 +311,7 @@ def spectral(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("user_id", K.spectral_features()("v").alias("features"))
 
 
-@query("C29_K15_procrustes", None)
+@query("C29_K15_procrustes", "SELECT vec_id AS id, round(embedding[len(embedding)]::DOUBLE, 6) AS first FROM embeddings")
 def procrustes(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     anchors = v.select(F.col("v").alias("a"), F.reverse("v").alias("b"))
