@@ -55,8 +55,8 @@ def personal_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return personal_rank(_all(spark, sf), seed, 10, 5).withColumn("rank", F.round("rank", 8))
 
 
-def _lpa_sql(rounds: int) -> str:
-    out = ", b AS (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s), l AS (SELECT src, dst, count(*) AS w FROM b WHERE src <> dst GROUP BY ALL), l0 AS (SELECT DISTINCT src AS id, src AS label FROM l)"
+def _lpa_sql(rounds: int, start: str = "SELECT DISTINCT src AS id, src AS label FROM l") -> str:
+    out = f", b AS (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s), l AS (SELECT src, dst, count(*) AS w FROM b WHERE src <> dst GROUP BY ALL), l0 AS ({start})"
     for k in range(1, rounds + 1):
         out += f", v{k} AS (SELECT id, label, sum(w) AS w FROM (SELECT src AS id, label, w FROM l JOIN l{k - 1} ON dst = id UNION ALL SELECT id, label, 1 FROM l{k - 1}) GROUP BY ALL), l{k} AS (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1)"
     return out
@@ -333,7 +333,18 @@ def hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     return G.hierarchical(_all(spark, sf), 10)
 
 
-@query("G11_G20_merge_small", None)
+def _merge_sql(least: int, rounds: int) -> str:
+    """Rounds of merging from ``c0`` (id, cid) over ``s``; the last is ``c{rounds}``."""
+    out = ""
+    for k in range(rounds):
+        out += f""", z{k} AS MATERIALIZED (SELECT cid, count(*) AS size FROM c{k} GROUP BY cid), h{k} AS MATERIALIZED (SELECT cid, dst FROM s JOIN c{k} ON id = src), p{k} AS MATERIALIZED (SELECT h.cid, c.cid AS goal FROM h{k} h JOIN c{k} c ON id = dst WHERE h.cid <> c.cid),
+t{k} AS MATERIALIZED (SELECT cid, goal, count(*) AS n FROM (SELECT cid, goal FROM p{k} UNION ALL SELECT goal, cid FROM p{k}) GROUP BY ALL),
+m{k} AS (SELECT t.cid, goal FROM t{k} t JOIN z{k} x ON x.cid = t.cid JOIN z{k} y ON y.cid = goal WHERE x.size < {least} AND (y.size > x.size OR (y.size = x.size AND goal < t.cid)) QUALIFY row_number() OVER (PARTITION BY t.cid ORDER BY n DESC, goal) = 1),
+c{k + 1} AS MATERIALIZED (SELECT id, coalesce(goal, cid) AS cid FROM c{k} LEFT JOIN m{k} USING (cid))"""
+    return out
+
+
+@query("G11_G20_merge_small", ", s AS MATERIALIZED (SELECT src, dst FROM edges), c0 AS MATERIALIZED (SELECT id, split_part(id, ':', 1) || right(id, 1) AS cid FROM (SELECT src AS id FROM s UNION SELECT dst FROM s))" + _merge_sql(50, 3) + " SELECT id, cid FROM c3", edges=True)
 def merge_small(spark: SparkSession, sf: str) -> DataFrame:
     e = _all(spark, sf)
     return G.merge_small(e, materialize(_kinds(e), "kinds"), 50)

@@ -20,6 +20,7 @@ from graphloom.operators import embedding as K
 from graphloom.operators import federation as FED
 from graphloom.operators import support as R
 from graphloom.operators import traversal as T
+from graphloom.plans.analytics_queries import _kinds, _lpa_sql
 from graphloom.plans.registry import query
 from graphloom.plans.traversal_queries import _SCORED, _answers, _seeds
 from graphloom.sources import files, sinks
@@ -369,10 +370,15 @@ def partial_rebalance(spark: SparkSession, sf: str) -> DataFrame:
     return G.partial_rebalance(e, c, spark.createDataFrame([("user",), ("k",)], "cid string"))
 
 
-@query("M13_M14_incremental_communities", None)
+_NEAR = """, u AS (SELECT src, dst FROM edges WHERE rel = 'LOCATED_IN' UNION SELECT dst, src FROM edges WHERE rel = 'LOCATED_IN'), c AS (SELECT DISTINCT src AS id, split_part(src, ':', 1) || right(src, 1) AS cid FROM u),
+near AS (SELECT 'supplier:3' AS id UNION SELECT dst FROM u WHERE src = 'supplier:3' UNION SELECT y.dst FROM u x JOIN u y ON x.dst = y.src WHERE x.src = 'supplier:3'),
+s AS (SELECT src, dst FROM edges WHERE rel = 'LOCATED_IN' AND src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near))"""
+
+
+@query("M13_M14_incremental_communities", _NEAR + _lpa_sql(3, "SELECT id, cid AS label FROM c JOIN near USING (id)") + " SELECT id, coalesce(label, cid) AS cid FROM c LEFT JOIN l3 USING (id)", edges=True)
 def incremental(spark: SparkSession, sf: str) -> DataFrame:
     e = _loc(spark, sf)
-    c = materialize(nodes_of(e).select("id", F.lit("old").alias("cid")), "old")
+    c = materialize(_kinds(e), "old")
     return G.incremental_communities(e, c, spark.createDataFrame([("supplier:3",)], "id string"), 2)
 
 
