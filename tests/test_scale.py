@@ -2,10 +2,15 @@
 
 import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom import storage
+from graphloom.operators import access as A
 from graphloom.operators import answers as N
+from graphloom.operators import discovery as J
+from graphloom.operators import nearest
 from graphloom.operators import traversal as T
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +63,48 @@ def test_answers_take_one_shuffle(spark):
     got = N.extract(paths(spark), 5, branch_bonus=0.25).select("query_id", "rank", "entity", "score")
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "concat_ws" not in plan  # no text of paths where only scores are asked for
+
+
+def vectors(spark, n=400, d=6, seed=1):
+    """Vectors with many equal ones, opposite ones and zeros."""
+    rng = np.random.default_rng(seed)
+    v = rng.integers(-1, 2, (n, d)).astype("float32") * rng.choice([1.0, 3.0], (n, 1)).astype("float32")
+    return spark.createDataFrame([(i, i % 3, v[i].tolist()) for i in range(n)], "id bigint, cid int, v array<float>").repartition(3)
+
+
+def plain(monkeypatch, run):
+    """The result by the plain expression, pair by pair."""
+    with monkeypatch.context() as m:
+        m.setattr(nearest, "regular", lambda *_: False)
+        return sorted_rows(run())
+
+
+@pytest.mark.parametrize("part", [1 << 25, 1 << 10])
+def test_blocks_find_what_pairs_find(spark, monkeypatch, part):
+    monkeypatch.setattr(nearest, "PART_BYTES", part)
+    v = vectors(spark)
+    links = v.select(F.col("id").alias("src"), ((F.col("id") * 7) % 400).alias("dst"))
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2)], "cu int, cv int")
+    columns = ["cu", "cv", "a", "b", "score", "potential", "rank"]
+    runs = [
+        lambda: A.vector_search(v, v.where("id % 20 = 0"), 10, "id", "v").select("query_id", "id", "score", "rank"),
+        lambda: J.unlinked_similar(v, v.where("id % 20 = 0").select("id"), links, 0.2, 0.95).select("a", "b", "score", "rank"),
+        lambda: J.boundary_scan(v, pairs, 0.0).select(columns),
+    ]
+    for run in runs:
+        assert sorted_rows(run()) == plain(monkeypatch, run)
+
+
+def test_no_join_of_all_pairs(spark, monkeypatch):
+    """The pairs are matrix products: no row per pair passes through a join."""
+    monkeypatch.setattr(A, "cosine", None)
+    monkeypatch.setattr(J, "cosine", None)
+    v = vectors(spark)
+    assert A.vector_search(v, v.where("id % 20 = 0"), 3, "id", "v").count() == 60
+    assert J.boundary_scan(v, spark.createDataFrame([(0, 1)], "cu int, cv int"), 0.0).count() == 3
+    assert J.unlinked_similar(v, v.where("id % 20 = 0").select("id"), spark.createDataFrame([], "src bigint, dst bigint"), 0.2, 0.95).count() > 0
+
+
+def test_irregular_vectors_are_still_compared(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0])], "id bigint, v array<float>")
+    assert A.vector_search(v, v.where("id = 0"), 5, "id", "v").count() == 3
