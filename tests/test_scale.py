@@ -108,3 +108,14 @@ def test_no_join_of_all_pairs(spark, monkeypatch):
 def test_irregular_vectors_are_still_compared(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0])], "id bigint, v array<float>")
     assert A.vector_search(v, v.where("id = 0"), 5, "id", "v").count() == 3
+
+
+def test_schemas_in_slices(spark, monkeypatch):
+    from graphloom.plans.traversal_queries import execute_schemas
+
+    whole = sorted_rows(execute_schemas(spark, SF))
+    made = []
+    monkeypatch.setattr(T, "SCHEMA_SEEDS", 500)
+    monkeypatch.setattr(T, "materialize_slices", lambda df, by, n, *rest: made.append(n) or storage.materialize_slices(df, by, n, *rest))
+    assert sorted_rows(execute_schemas(spark, SF)) == whole
+    assert made == [4]
