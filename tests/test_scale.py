@@ -119,3 +119,38 @@ def test_schemas_in_slices(spark, monkeypatch):
     monkeypatch.setattr(T, "materialize_slices", lambda df, by, n, *rest: made.append(n) or storage.materialize_slices(df, by, n, *rest))
     assert sorted_rows(execute_schemas(spark, SF)) == whole
     assert made == [4]
+
+
+def test_rounds_in_slices(spark, monkeypatch):
+    """Labels, held-out edges and confounders are the same in one slice and in several."""
+    from graphloom.graph import edge_view
+    from graphloom.operators import analytics as G
+    from graphloom.operators import causal as C
+    from graphloom.operators import rules as R
+
+    e = edge_view(spark, SF, ["CONTAINS", "SUPPLIED_BY", "FULFILLED_BY"]).where("src < 'order:3' or src >= 'part'")
+    pairs = e.where("rel = 'SUPPLIED_BY'").select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    paths = pairs.select("source", "target", F.array("source", F.lit("SUPPLIED_BY"), "target").alias("path"))
+    start = e.select(F.col("src").alias("id"), F.col("rel").alias("label")).distinct().unionByName(spark.createDataFrame([("alone", "x")], "id string, label string"))
+    start = start.groupBy("id").agg(F.min("label").alias("label"))
+    rules = R.composition_table(spark, "CONTAINS SUPPLIED_BY FULFILLED_BY 0.9")
+    runs = [
+        lambda: G.label_propagation(e, 2),
+        lambda: G.label_propagation(e, 1, initial=start),
+        lambda: R.holdout_validation(e, rules),
+        lambda: C.confounders(pairs, paths, e, 1, ("CONTAINS", "SUPPLIED_BY", "FULFILLED_BY")),
+    ]
+    one = [sorted_rows(run()) for run in runs]
+    assert any("'alone'" in row for row in one[1])
+    monkeypatch.setattr(storage, "SLICE_ROWS", 4000)
+    monkeypatch.setattr(storage, "SLICE_BYTES", 200_000)
+    monkeypatch.setattr(G, "VOTES", 8000)
+    parts = []
+    keep = storage.materialize_parts
+    counted = lambda frames, *rest: keep((parts.append(1) or f for f in frames), *rest)
+    monkeypatch.setattr(storage, "materialize_parts", counted)
+    monkeypatch.setattr(R, "materialize_parts", counted)
+    for run, rows in zip(runs, one):
+        parts.clear()
+        assert sorted_rows(run()) == rows
+        assert len(parts) > 1
