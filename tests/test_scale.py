@@ -90,6 +90,7 @@ def test_blocks_find_what_pairs_find(spark, monkeypatch, part):
         lambda: A.vector_search(v, v.where("id % 20 = 0"), 10, "id", "v").select("query_id", "id", "score", "rank"),
         lambda: J.unlinked_similar(v, v.where("id % 20 = 0").select("id"), links, 0.2, 0.95).select("a", "b", "score", "rank"),
         lambda: J.boundary_scan(v, pairs, 0.0).select(columns),
+        lambda: A.similarities(v.withColumnRenamed("cid", "group"), "id % 20 = 0"),
     ]
     for run in runs:
         assert sorted_rows(run()) == plain(monkeypatch, run)
@@ -102,6 +103,7 @@ def test_no_join_of_all_pairs(spark, monkeypatch):
     v = vectors(spark)
     assert A.vector_search(v, v.where("id % 20 = 0"), 3, "id", "v").count() == 60
     assert J.boundary_scan(v, spark.createDataFrame([(0, 1)], "cu int, cv int"), 0.0).count() == 3
+    assert A.similarities(v.withColumnRenamed("cid", "group"), "id % 20 = 0").count() == 20 * 399
     assert J.unlinked_similar(v, v.where("id % 20 = 0").select("id"), spark.createDataFrame([], "src bigint, dst bigint"), 0.2, 0.95).count() > 0
 
 
