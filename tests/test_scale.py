@@ -156,3 +156,11 @@ def test_rounds_in_slices(spark, monkeypatch):
         parts.clear()
         assert sorted_rows(run()) == rows
         assert len(parts) > 1
+
+
+def test_slices_of_a_plan_with_joins(spark):
+    from graphloom.graph import edge_view
+
+    e = edge_view(spark, SF)
+    keys = e.select("src").distinct()
+    assert storage.plan_slices(e.join(keys, "src").join(keys, "src").join(spark.createDataFrame([("a",)], "dst string"), "dst")) == 1
