@@ -19,6 +19,7 @@ each time.  An empty table gives an empty result.  Existing columns of the same
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import append_columns, apart, texts
-from graphloom.storage import materialize
+from graphloom.llm.common import append_columns, apart, release_memory, texts
+from graphloom.storage import discard, materialize, slices
 
 BITS = 18
+#: Bytes of features that come to the driver at once.
+COLLECTED = 1 << 23
 HEADS = ("quality", "toxic")
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Byte classes of the character rates: upper case, lower case, digits, other bytes above 127, and each other byte by itself.
@@ -130,18 +133,42 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
         return compute
 
-    got = append_columns(rows, ["text"], "features binary", make).select("quality", "toxic", "doc_id", "features").toArrow()  # columns, not a row object each
-    label = {h: got[h].to_pylist() for h in HEADS}
-    names = [zlib.crc32(str(x).encode()) for x in got["doc_id"].to_pylist()]
-    found = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["features"]]
-    order = sorted(range(len(found)), key=lambda i: (names[i], found[i].tobytes()))
+    made = materialize(append_columns(rows, ["text"], "features binary", make).select("quality", "toxic", "doc_id", "features"), "features")
+    label, names, found = collected(made)
+    discard(made)
+    order = ordered(names, found)
     out = {}
     for head in HEADS:
         known = [i for i in order if label[head][i] is not None]
         out[head] = fit_and_cut([found[i] for i in known], np.array([float(label[head][i] > 0) for i in known]))
+    del found
+    release_memory()  # the driver lives on; what it learnt from is not needed again
     return Classifier(out)
 
 
+def collected(made: DataFrame) -> tuple[dict[str, list], list[int], list[np.ndarray]]:
+    """Labels by head, a number of the id, and features of each row.  They come in parts of a few MB: a driver that takes
+    all at once holds them several times, as results of tasks, in the socket and in Python."""
+    label, names, found = {h: [] for h in HEADS}, [], []
+    n = slices(made.agg(F.sum(F.length("features"))).first()[0] or 0, COLLECTED)
+    for i in range(n):
+        got = (made.where(F.pmod(F.xxhash64("doc_id", "features"), F.lit(n)) == i) if n > 1 else made).toArrow()  # columns, not a row object each
+        for h in HEADS:
+            label[h] += got[h].to_pylist()
+        names += [zlib.crc32(str(x).encode()) for x in got["doc_id"].to_pylist()]
+        found += [np.frombuffer(x.as_buffer(), np.uint32) for x in got["features"]]
+    return label, names, found
+
+
+def ordered(names: list[int], found: list[np.ndarray]) -> list[int]:
+    """Positions by name, then by features; only rows of equal names need their bytes."""
+    out = []
+    for _, same in itertools.groupby(sorted(range(len(names)), key=names.__getitem__), names.__getitem__):
+        own = list(same)
+        out += own if len(own) == 1 else sorted(own, key=lambda i: found[i].tobytes())
+    return out
+
+
 def evidence(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """Add the log odds of the text for both heads."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -819,3 +819,29 @@ def test_lm_keeps_few_files_open(docs, monkeypatch):
     part, = lm.stream([(r.text or "").encode() for r in docs.collect()], lm.Hashes(), 1 << 30)
     assert math.isclose(model.token_scores(part)[2].sum(), sum(want[r.doc_id, r.text] for r in docs.collect()), rel_tol=1e-9)
     assert len(model._open) <= 3
+
+
+def test_classifier_learns_from_parts(spark, monkeypatch):
+    """What it learns from comes to the driver in parts, and the model does not depend on them."""
+    docs = spark.createDataFrame([(i % 50, words(30 + i, i) if i % 9 else None) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    whole = quality_classifier.train(docs, labels)
+    sizes, keep = [], type(docs).toArrow
+
+    def counted(df):
+        got = keep(df)
+        sizes.append(got["features"].nbytes)
+        return got
+
+    monkeypatch.setattr(type(docs), "toArrow", counted)
+    monkeypatch.setattr(quality_classifier, "COLLECTED", 2000)
+    parts = quality_classifier.train(docs, labels)
+    assert len(sizes) > 4 and max(sizes) < sum(sizes) / 2
+    for h in quality_classifier.HEADS:
+        assert (parts.weights[h][0] == whole.weights[h][0]).all() and parts.weights[h][1] == whole.weights[h][1]
+
+
+def test_classifier_orders_rows_by_name_then_features():
+    found = [np.array(x, np.uint32) for x in ([3, 1], [2], [2, 5], [1], [2])]
+    names = [7, 7, 1, 7, 1]
+    assert quality_classifier.ordered(names, found) == sorted(range(5), key=lambda i: (names[i], found[i].tobytes()))
