@@ -164,3 +164,30 @@ def test_slices_of_a_plan_with_joins(spark):
     e = edge_view(spark, SF)
     keys = e.select("src").distinct()
     assert storage.plan_slices(e.join(keys, "src").join(keys, "src").join(spark.createDataFrame([("a",)], "dst string"), "dst")) == 1
+
+
+def test_communities_on_numbers(spark):
+    """Numbers follow the order of the ids, links hold every edge in both directions, and a level's graph is contracted from links."""
+    from graphloom.operators import analytics as G
+
+    e = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("c", "c"), ("é", "c"), ("a", None)], "src string, dst string")
+    nodes, links = G.coded(e)
+    number = {r.id: r.n for r in nodes.collect()}
+    assert sorted(number, key=number.get) == ["a", "b", "c", "é"]
+    name = {n: i for i, n in number.items()}
+    got = {(name[r.src], name[r.dst], r.w) for r in links.collect()}
+    assert got == {("a", "b", 2.0), ("b", "a", 2.0), ("b", "c", 1.0), ("c", "b", 1.0), ("c", "é", 1.0), ("é", "c", 1.0)}
+    halves = nodes.select(F.col("n").alias("id"), F.when(F.col("id") < "c", number["a"]).otherwise(number["c"]).alias("cid"))
+    assert {(name[r.src], name[r.dst], r.w) for r in G.contract(links, halves).collect()} == {("a", "c", 1.0), ("c", "a", 1.0)}
+    assert {(r.id, r.cid) for r in G.decoded(nodes, halves).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("é", "c")}
+
+
+def test_hierarchical_reads_the_edges_once(spark, monkeypatch):
+    from graphloom.graph import edge_view
+    from graphloom.operators import analytics as G
+
+    e = edge_view(spark, SF)
+    labels = {r.id: r.label for r in G.label_propagation(e, 2).collect()}
+    monkeypatch.setattr(G, "label_propagation", None)  # on texts, with links built anew for each level
+    assert {r.id: r.cid for r in G.hierarchical(e, 10**9, 2).collect()} == labels
+    assert G.hierarchical(e, 1, 2, 2).select("cid").distinct().count() < len(set(labels.values()))
