@@ -191,3 +191,14 @@ def test_hierarchical_reads_the_edges_once(spark, monkeypatch):
     monkeypatch.setattr(G, "label_propagation", None)  # on texts, with links built anew for each level
     assert {r.id: r.cid for r in G.hierarchical(e, 10**9, 2).collect()} == labels
     assert G.hierarchical(e, 1, 2, 2).select("cid").distinct().count() < len(set(labels.values()))
+
+
+def test_consensus_in_slices(spark, monkeypatch):
+    from graphloom.graph import edge_view
+    from graphloom.operators import analytics as G
+
+    e = edge_view(spark, SF, ["SUPPLIED_BY", "LOCATED_IN"])
+    one = sorted_rows(G.consensus_communities(e, 2))
+    monkeypatch.setattr(G, "VOTES", 500)
+    monkeypatch.setattr(G, "CODED_BYTES", 5000)
+    assert sorted_rows(G.consensus_communities(e, 2)) == one
