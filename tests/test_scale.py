@@ -107,6 +107,51 @@ def test_no_join_of_all_pairs(spark, monkeypatch):
     assert J.unlinked_similar(v, v.where("id % 20 = 0").select("id"), spark.createDataFrame([], "src bigint, dst bigint"), 0.2, 0.95).count() > 0
 
 
+def test_sample_gives_first_bars(spark, monkeypatch):
+    """With a sample of the vectors, results are those of pairs, and few pairs leave a task."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 8)).astype("float32")
+    x[1500:1504] = x[20]  # a query's copies
+    v = spark.createDataFrame([(i, i % 3, r.tolist()) for i, r in enumerate(x)], "id bigint, cid int, v array<float>").repartition(16)
+    q = v.where("id % 20 = 0")
+    links = v.select(F.col("id").alias("src"), ((F.col("id") * 7) % 400).alias("dst"))
+    runs = [
+        lambda: A.vector_search(v, q, 5, "id", "v").select("query_id", "id", "score", "rank"),
+        lambda: J.unlinked_similar(v, q.select("id").where("id > 400"), links, 0.2, 0.9).select("a", "b", "score", "rank"),
+    ]
+    expected = [sorted_rows(run()) for run in runs]
+    asked = q.select("id", "v", F.lit(5).alias("k"))
+    left = sum(part.count() for part in nearest.nearest(v, asked))
+    monkeypatch.setattr(nearest, "SAMPLED", 1000)
+    monkeypatch.setattr(nearest, "GROUPS", 64)
+    assert [sorted_rows(run()) for run in runs] == expected == [plain(monkeypatch, run) for run in runs]
+    assert sum(part.count() for part in nearest.nearest(v, asked)) < 0.75 * left
+
+
+def test_copies_beyond_the_best_are_left_out(spark):
+    """Of many equal vectors only those of the least ids are compared, and a query that is one of them finds the others."""
+    v = spark.createDataFrame([(i, [1.0, 2.0] if i % 4 else [float(i), 1.0]) for i in range(400)], "id bigint, v array<float>").repartition(3)
+    kept, _ = nearest.thinned(v, 3)
+    assert kept.count() == 104 and {r.id for r in kept.where("v[1] = 2").collect()} == {1, 2, 3, 5}
+    got = A.vector_search(v, v.where("id in (1, 7)"), 3, "id", "v").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(1, 2), (1, 3), (1, 5), (7, 1), (7, 2), (7, 3)]
+
+
+def test_clustering_reads_its_edges_once(spark):
+    from graphloom.operators import analytics as G
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3)], "src bigint, dst bigint").mapInArrow(counted, "src bigint, dst bigint")
+    got = {r.id: (r.degree, r.triangles) for r in G.clustering(edges).collect()}
+    assert got == {0: (2, 1), 1: (2, 1), 2: (3, 1), 3: (1, 0)} and read.value == 4
+
+
 def test_irregular_vectors_are_still_compared(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0])], "id bigint, v array<float>")
     assert A.vector_search(v, v.where("id = 0"), 5, "id", "v").count() == 3
