@@ -107,6 +107,13 @@ def test_no_join_of_all_pairs(spark, monkeypatch):
     assert J.unlinked_similar(v, v.where("id % 20 = 0").select("id"), spark.createDataFrame([], "src bigint, dst bigint"), 0.2, 0.95).count() > 0
 
 
+def test_places_of_few():
+    rng = np.random.default_rng(5)
+    for shape, share in (((64, 32), 0.001), ((64, 32), 0.5), ((7, 9), 0.1), ((16, 8), 0.0)):
+        mask = rng.random(shape) < share
+        assert set(zip(*nearest.places(mask))) == set(zip(*np.nonzero(mask)))
+
+
 def test_sample_gives_first_bars(spark, monkeypatch):
     """With a sample of the vectors, results are those of pairs, and few pairs leave a task."""
     rng = np.random.default_rng(3)
