@@ -70,3 +70,24 @@ def test_kinds_that_come_back_are_left_to_texts():
     part = P.Part(None, "a", (P.Edge("R", "b"),))
     assert P.layers([part], "a", 2) == [[0], []]
     assert P.layers([part, P.Part(None, "b", (P.Edge("S", "a"),))], "a", 2) is None
+
+
+def test_causes_and_relations_on_numbers_are_those_on_texts(spark, hubs, monkeypatch):
+    """The causal edges are not capped, the beam's are."""
+    causes = ("FULFILLED_BY", "LOCATED_IN", "IN_REGION")
+    got = Q._number_answers(spark, hubs, "reached", "rels", causes=causes)
+    seeds = Q._seeds(spark, hubs)
+    reached = Q.T.reachable(seeds, Q.edge_view(spark, hubs, list(causes)), 3).where("depth > 0").select("query_id", F.col("id").alias("entity"), F.lit(True).alias("ok")).distinct()
+    want = Q._text_answers(spark, hubs, "rels").join(reached, ["query_id", "entity"], "left").select("query_id", "rank", "entity", F.coalesce("ok", F.lit(False)), F.concat_ws(">", "rels"))
+    rows = sorted(map(tuple, got.select("query_id", "rank", "entity", "reached", F.concat_ws(">", "rels")).collect()))
+    assert rows == sorted(map(tuple, want.collect())) and {r[3] for r in rows} == {True, False}
+
+
+def test_conflicts_take_one_shuffle(spark):
+    rows = [(1, 1, "a", ["x", "R", "a"]), (1, 2, "b", ["x", "S", "y", "R", "b"]), (1, 3, "c", ["x", "T", "c"]), (2, 1, "a", ["x", "S", "a"]), (2, 2, "c", ["x", "T", "R", "S", "c"])]
+    answers = spark.createDataFrame(rows, "query_id int, rank int, entity string, path array<string>").repartition(3)
+    opposing = spark.createDataFrame([("R", "S"), ("S", "R"), ("R", "S"), (None, "R")], "a string, b string")
+    got = Q.N.answer_conflicts(answers, opposing)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "b", "R", "S")]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning(query_id") == 1
